@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weft.llm import bpe
 from weft.llm.fingerprint import fingerprints
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +20,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+#: The file's place is a parameter; the vocabulary is never copied here.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(_table(spark, folder, "documents"), vocabulary(), bpe.DIGESTS)
+
+
 def queries() -> dict[str, Run]:
-    return {"op10_fingerprint": op10}
+    return {"op8_bpe": op8, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
