@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe
+from weft.llm import bpe, chat, sharding
 from weft.llm.fingerprint import fingerprints
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +30,22 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.unionByName(chat.planted(spark))))
+
+
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(_table(spark, folder, "documents"), 24)
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"), vocabulary(), bpe.DIGESTS)
 
 
 def queries() -> dict[str, Run]:
-    return {"op8_bpe": op8, "op10_fingerprint": op10}
+    return {"op4_chat": op4, "op6_shards": op6, "op8_bpe": op8, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": chat.ORACLE}
