@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import bpe, chat, sharding
+from weft.llm import bpe, chat, mixing, sharding
 from weft.llm.fingerprint import fingerprints
+from weft.llm.neardup import near_duplicates
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +32,16 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in the order of a mix whose weights go with the root of each source's size."""
+    mixed = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source", F.xxhash64("text").alias("text")))
+    return mixed.drop("text")
+
+
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.windows(turns.unionByName(chat.planted(spark))))
@@ -44,8 +56,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Run]:
-    return {"op4_chat": op4, "op6_shards": op6, "op8_bpe": op8, "op10_fingerprint": op10}
+    return {"op1_embedding_neardup": op1, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op8_bpe": op8, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op4_chat": chat.ORACLE}
