@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), "edges")
     seen = None
     while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum("v")).collect()[0]
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v").cast("long"))).collect()[0]
         if seen == state or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
         seen = state

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import bpe, chat, mixing, sharding
 from weft.llm.fingerprint import fingerprints
+from weft.llm.jaccard import similar
 from weft.llm.neardup import near_duplicates
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return similar(_table(spark, folder, "documents"))
+
+
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -56,7 +61,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Run]:
-    return {"op1_embedding_neardup": op1, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op8_bpe": op8, "op10_fingerprint": op10}
+    return {"op1_embedding_neardup": op1, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
