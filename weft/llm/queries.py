@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, chat, mixing, sharding
+from weft.llm import bpe, chat, lines, mixing, sharding
 from weft.llm.fingerprint import fingerprints
 from weft.llm.jaccard import similar
 from weft.llm.neardup import near_duplicates
@@ -56,12 +56,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_table(spark, folder, "documents"), 24)
 
 
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's lines, how many of them repeat an earlier one, and which of those are removed."""
+    return lines.repeats(_table(spark, folder, "documents")).drop("h")
+
+
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(_table(spark, folder, "documents"), vocabulary(), bpe.DIGESTS)
 
 
 def queries() -> dict[str, Run]:
-    return {"op1_embedding_neardup": op1, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
+    return {"op1_embedding_neardup": op1, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op7_lines": op7, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
