@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, chat, lines, mixing, sharding
+from weft.llm import bpe, chat, langid, lines, mixing, sharding
 from weft.llm.fingerprint import fingerprints
 from weft.llm.jaccard import similar
 from weft.llm.neardup import near_duplicates
@@ -41,6 +41,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    net = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
+    return langid.identify(docs.withColumn("held_out", langid.held_out()), net, ["doc_id", "held_out"])
+
+
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in the order of a mix whose weights go with the root of each source's size."""
     mixed = mixing.mix(_table(spark, folder, "documents").select("doc_id", "source", F.xxhash64("text").alias("text")))
@@ -66,7 +72,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Run]:
-    return {"op1_embedding_neardup": op1, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op7_lines": op7, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
+    return {"op1_embedding_neardup": op1, "op2_langid": op2, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op7_lines": op7, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
