@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, chat, langid, lines, mixing, sharding
+from weft.llm import bpe, chat, langid, lines, lm, mixing, sharding
 from weft.llm.fingerprint import fingerprints
 from weft.llm.jaccard import similar
 from weft.llm.neardup import near_duplicates
@@ -58,6 +58,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(chat.planted(spark))))
 
 
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    scored = lm.score(docs, ~lm.held_out() & F.col("doc_id").isNotNull())
+    return scored.select("doc_id", lm.held_out().alias("held_out"), *scored.columns[1:])
+
+
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_table(spark, folder, "documents"), 24)
 
@@ -72,7 +78,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Run]:
-    return {"op1_embedding_neardup": op1, "op2_langid": op2, "op3_mixing": op3, "op4_chat": op4, "op6_shards": op6, "op7_lines": op7, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
+    return {"op1_embedding_neardup": op1, "op2_langid": op2, "op3_mixing": op3, "op4_chat": op4, "op5_lm": op5, "op6_shards": op6, "op7_lines": op7, "op8_bpe": op8, "op9_jaccard": op9, "op10_fingerprint": op10}
 
 
 def oracle_sql() -> dict[str, str]:
