@@ -36,6 +36,14 @@ def test_runs_are_the_encoding():
         assert runs.text(text) == (" ".join(map(str, ids)), len(ids), decoded), text
 
 
+def test_parts_hold_the_text():
+    for text in strings(60, 400):
+        for size in (7, 50):
+            cut = bpe.parts(text, size)
+            assert "".join(t for _, _, t in cut) == text and all(0 < len(t) <= size for _, _, t in cut)
+            assert [h for h, _, _ in cut][1:] == [o for _, o, _ in cut][:-1]
+
+
 def test_long_texts_over_tasks(spark):
     texts = ["", None, "short one", "word " * 300, "q" * 700, "ab" * 400 + " tail " + "é" * 500, "<|endoftext|>" * 40] + strings(20, 900, 8)
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(4, "q" * 700, "copy"), (None, "z" * 300, "n")]

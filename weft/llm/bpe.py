@@ -15,6 +15,7 @@ equal rows. The tokenizer must drop white space and know no token that contains
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -22,13 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a run that are encoded at once, and of a text that one task encodes.
 LEAF, PART = 4096, 32_768
 #: Distinct runs that a task remembers.
-CACHE = 200_000
+CACHE = 250_000
 AGREE = 3
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -94,24 +95,61 @@ def tree(encode: Callable[[str], list[Token]], text: str, size: int = LEAF) -> l
     return join(encode, left, tree(encode, left, size), right, tree(encode, right, size))
 
 
+#: Runs of these characters alone are split here, as the tokenizer's pattern does; NFC leaves them as they are.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+_PLAIN = re.compile(r"[!-~¡-ÿ]+\Z")
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+
+
+def byte_names() -> dict[int, str]:
+    """The characters by which byte-level models name bytes: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in own]
+    return {x: chr(x) for x in own} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
 class Runs:
-    """Encodes texts run by run; the cache holds each run's ids as text and as numbers, and its decoding."""
+    """Encodes texts run by run; the cache holds each run's ids as text, their number and its decoding."""
 
     def __init__(self, path: str):
-        self.path, self.encode, self.known = path, leaf(path), {}
+        self.path, self.encode, self.known, self.pieces, self.names = path, leaf(path), {}, {}, byte_names()
+        t = json.loads(tokenizer(path).to_str())
+        #: whether runs of plain characters may be split here; a file of another kind is left to the library
+        kinds = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
+        split = (t["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        self.tokens = {i: w for w, i in tokenizer(path).get_vocab(with_added_tokens=True).items()} if t["decoder"] is None else None
+
+    def decode(self, ids: list[int]) -> str:
+        if self.tokens is None:
+            return tokenizer(self.path).decode(ids, skip_special_tokens=False)
+        return " ".join([self.tokens[i] for i in ids])
+
+    def piece(self, text: str) -> list[int]:
+        ids = self.pieces.get(text)
+        if ids is None:
+            named = "".join([self.names[x] for x in text.encode()])
+            ids = self.pieces[text] = [t.id for t in tokenizer(self.path).model.tokenize(named)]
+        return ids
 
     def learn(self, runs: list[bytes]) -> None:
-        t = tokenizer(self.path)
         new = list({r for r in runs if r not in self.known})
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
+            self.pieces.clear()
             new = list(set(runs))
-        short = [r for r in new if len(r) <= LEAF]
-        ids = [e.ids for e in t.encode_batch_fast([r.decode() for r in short], add_special_tokens=False)] if short else []
-        long = [r for r in new if len(r) > LEAF]
-        ids += [[i for i, _, _ in tree(self.encode, r.decode())] for r in long]
-        for r, own in zip(short + long, ids, strict=True):
-            self.known[r] = (" ".join(map(str, own)), len(own), t.decode(own, skip_special_tokens=False))
+        texts = [r.decode() for r in new]
+        ids: dict[str, list[int]] = {}
+        for r in texts:
+            if len(r) > LEAF:
+                ids[r] = [i for i, _, _ in tree(self.encode, r)]
+            elif self.plain and _PLAIN.match(r) and "<|" not in r:
+                ids[r] = [i for p in _PIECES.findall(r.lower()) for i in self.piece(p)]
+        rest = [r for r in texts if r not in ids]
+        ids.update((r, e.ids) for r, e in zip(rest, tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False), strict=True))
+        for r, text in zip(new, texts, strict=True):
+            own = ids[text]
+            self.known[r] = (" ".join(map(str, own)), len(own), self.decode(own))
 
     def text(self, text: str) -> tuple[str, int, str]:
         """The ids as decimal text, their number, and the decoding."""
@@ -125,6 +163,12 @@ class Runs:
         return " ".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
 
 
+@lru_cache(2)
+def runs_of(path: str) -> Runs:
+    """One cache for all tasks that a worker process runs."""
+    return Runs(path)
+
+
 #: What becomes of a document's (ids as text, number, decoding).
 Finish = tuple[str, Callable[[str, int, str], tuple]]
 
@@ -137,8 +181,13 @@ def _digests(ids: str, n: int, decoded: str) -> tuple:
     return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def _tokens(ids: str, n: int, decoded: str) -> tuple:
+    return n, [int(x) for x in ids.split()], hashlib.sha256(decoded.encode()).hexdigest()
+
+
 WHOLE: Finish = ("n_tokens long, ids array<int>, decoded string", _whole)
 DIGESTS: Finish = ("n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+TOKENS: Finish = ("n_tokens long, ids array<int>, decoded_sha256 string", _tokens)
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
@@ -150,109 +199,119 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 def _short(path: str, finish: Finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(path)
+        runs = runs_of(path)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 texts = [t or "" for t in part["text"].to_pylist()]
-                yield _batch(f"doc_id long, {finish[0]}", [(i, *finish[1](*runs.text(t))) for i, t in zip(part["doc_id"].to_pylist(), texts, strict=True)])
+                ids = zip(part["doc_id"].to_pylist(), part["tag"].to_pylist(), texts, strict=True)
+                yield _batch(f"doc_id long, tag long, {finish[0]}", [(i, tag, *finish[1](*runs.text(t))) for i, tag, t in ids])
 
     return run
 
 
-PARTS = "doc_id long, key long, copies long, part int, hard boolean, text string"
+PARTS = "doc_id long, tag long, key long, copies long, part int, hard boolean, open boolean, text string"
 
 
-def parts(text: str, size: int = PART) -> list[tuple[bool, str]]:
-    """A text in parts of at most ``size`` characters: (whether it continues the run before, text)."""
+def parts(text: str, size: int = PART) -> list[tuple[bool, bool, str]]:
+    """A text in parts of at most ``size`` characters: (whether it begins, and ends, inside a run; text)."""
     out, at, hard = [], 0, False
     while len(text) - at > size:
         gap = max(text.rfind(c, at + 1, at + size) for c in SPACE)
         end = at + size if gap < 0 else gap
-        out.append((hard, text[at:end]))
+        out.append((hard, gap < 0, text[at:end]))
         at, hard = end, gap < 0
-    return [*out, (hard, text[at:])]
+    return [*out, (hard, False, text[at:])]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for doc_id, key, copies, text in zip(*(b[c].to_pylist() for c in ("doc_id", "key", "copies", "text")), strict=True):
-            yield _batch(PARTS, [(doc_id, key, copies, n, hard, t) for n, (hard, t) in enumerate(parts(text))])
+def _cut(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *head, text in zip(*(b[c].to_pylist() for c in ("doc_id", "tag", "key", "copies", "text")), strict=True):
+                yield _batch(PARTS, [(*head, n, *p) for n, p in enumerate(parts(text, size))])
 
+    return run
 
-ENCODED = "doc_id long, key long, copies long, part int, hard boolean, text string, ids binary, starts binary, ends binary"
+
+#: A part's encoding: its first run if that goes on from the part before, the runs between, its last run if that goes on.
+ENCODED = "doc_id long, tag long, key long, copies long, part int, hard boolean, open boolean, head string, head_tokens binary, ids string, decoded string, n long, tail string, tail_tokens binary"
+_EDGE = re.compile(rf"[^{SPACE}]+")
 
 
 def _encode_parts(path: str):
+    def packed(text: str) -> bytes:
+        return np.array(tree(leaf(path), text), dtype=np.int32).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = leaf(path)
+        runs = runs_of(path)
         for b in batches:
             for row in b.to_pylist():
-                text = row["text"]
-                tokens: list[Token] = []
-                # only the runs at its two ends can be mended later, but every token keeps its place
-                for m in re.finditer(rf"[^{SPACE}]+", text):
-                    tokens += [(i, x + m.start(), y + m.start()) for i, x, y in tree(encode, m[0])] if len(m[0]) > LEAF else []
-                    if len(m[0]) <= LEAF:
-                        tokens.append((-1, m.start(), m.end()))
-                short = [text[x:y] for i, x, y in tokens if i < 0]
-                done = iter(tokenizer(path).encode_batch(short, add_special_tokens=False))
-                flat: list[Token] = []
-                for i, x, y in tokens:
-                    if i >= 0:
-                        flat.append((i, x, y))
-                    else:
-                        e = next(done)
-                        flat += [(j, x + p, x + q) for j, (p, q) in zip(e.ids, e.offsets, strict=True)]
-                arrays = np.array(flat, dtype=np.int32).reshape(-1, 3)
-                yield _batch(ENCODED, [(row["doc_id"], row["key"], row["copies"], row["part"], row["hard"], text, *(arrays[:, c].tobytes() for c in range(3)))])
+                text, head, tail = row["text"], "", ""
+                if row["hard"] and (m := _EDGE.match(text)):
+                    head, text = m[0], text[m.end() :]
+                if row["open"] and (m := re.search(rf"[^{SPACE}]+\Z", text)):
+                    tail, text = m[0], text[: m.start()]
+                ids, n, decoded = runs.text(text)
+                yield _batch(ENCODED, [(*(row[c] for c in ("doc_id", "tag", "key", "copies", "part", "hard", "open")), head, packed(head), ids, decoded, n, tail, packed(tail))])
 
     return run
 
 
-def _concat(encode, pieces: list[tuple[str, list[Token]]]) -> tuple[str, list[Token]]:
-    """Parts of one run-through text, joined as a tree."""
+def _concat(encode, pieces: list[tuple[str, list[Token]]]) -> list[Token]:
+    """The tokens of a run from its pieces', joined as a tree."""
     while len(pieces) > 1:
         paired = [(l + r, join(encode, l, a, r, b)) for (l, a), (r, b) in zip(pieces[::2], pieces[1::2], strict=False)]
         pieces = paired + pieces[len(paired) * 2 :]
-    return pieces[0]
+    return pieces[0][1] if pieces else []
 
 
 def _join_parts(path: str, finish: Finish):
-    def done(head: tuple, chains: list[list[tuple[str, list[Token]]]]) -> pa.RecordBatch:
-        encode, t = leaf(path), tokenizer(path)
-        ids = [i for c in chains for i, _, _ in _concat(encode, c)[1]]
-        row = finish[1](" ".join(map(str, ids)), len(ids), t.decode(ids, skip_special_tokens=False))
-        return _batch(f"doc_id long, copies long, {finish[0]}", [(head[0], head[2], *row)])
+    def unpacked(text: str, blob: bytes) -> tuple[str, list[Token]]:
+        return text, [tuple(t) for t in np.frombuffer(blob, np.int32).reshape(-1, 3).tolist()]
+
+    def done(rows: list[dict]) -> pa.RecordBatch:
+        found: list[tuple[str, int, str]] = []
+        held: list[tuple[str, list[Token]]] = []
+        for row in rows:
+            through = row["hard"] and row["open"] and not row["n"] and not row["tail"]
+            if row["hard"]:
+                held.append(unpacked(row["head"], row["head_tokens"]))
+            if not through:
+                own = [i for i, _, _ in _concat(leaf(path), held)]
+                found += [(" ".join(map(str, own)), len(own), runs_of(path).decode(own)), (row["ids"], row["n"], row["decoded"])]
+                held = [unpacked(row["tail"], row["tail_tokens"])] if row["open"] else []
+        found = [x for x in found if x[1]]
+        row = finish[1](" ".join([x[0] for x in found]), sum(x[1] for x in found), " ".join([x[2] for x in found]))
+        return _batch(f"doc_id long, tag long, copies long, {finish[0]}", [(rows[0]["doc_id"], rows[0]["tag"], rows[0]["copies"], *row)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, chains = None, []
+        rows: list[dict] = []
         for b in batches:
             for row in b.to_pylist():
-                own = (row["doc_id"], row["key"], row["copies"])
-                if head != own:
-                    if head is not None:
-                        yield done(head, chains)
-                    head, chains = own, []
-                tokens = list(zip(*(np.frombuffer(row[c], np.int32).tolist() for c in ("ids", "starts", "ends")), strict=True))
-                chains[-1].append((row["text"], tokens)) if row["hard"] else chains.append([(row["text"], tokens)])
-        if head is not None:
-            yield done(head, chains)
+                if rows and any(rows[0][c] != row[c] for c in ("key", "doc_id", "tag")):
+                    yield done(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield done(rows)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, finish: Finish = WHOLE, part: int = PART) -> DataFrame:
-    """One row per document: doc_id and what ``finish`` makes of its encoding and decoding.
+def encode(docs: DataFrame, path: str, finish: Finish = WHOLE, part: int = PART, tag: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, ``tag`` if given, and what ``finish`` makes of its encoding and decoding.
 
     Texts of up to ``part`` characters stay in their partition. Longer ones travel twice, in
-    parts: to the tasks that encode them, and to the task that joins a document's parts.
+    parts: to the tasks that encode them, and to the task that joins a document's parts. A tag
+    is a whole number that stays with its document.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= part).mapInArrow(_short(path, finish), f"doc_id long, {finish[0]}")
-    long = rows.where(F.length("text") > part).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
-    cut = long.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "copies", "text").mapInArrow(_cut, PARTS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None) if tag is None else tag).cast("long").alias("tag"), "text")
+    result = f"doc_id long, tag long, {finish[0]}"
+    short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= part).mapInArrow(_short(path, finish), result)
+    long = rows.where(F.length("text") > part).groupBy("doc_id", "tag", "text").agg(F.count(F.lit(1)).alias("copies"))
+    cut = long.select("doc_id", "tag", F.xxhash64("doc_id", "tag", "text").alias("key"), "copies", "text").mapInArrow(_cut(part), PARTS)
     spread = cut.repartition("key", "part").mapInArrow(_encode_parts(path), ENCODED)
-    joined = spread.repartition("key").sortWithinPartitions("key", "doc_id", "part").mapInArrow(_join_parts(path, finish), f"doc_id long, copies long, {finish[0]}")
+    joined = spread.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "part").mapInArrow(_join_parts(path, finish), result.replace("tag long", "tag long, copies long"))
     again = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")
-    return short.unionByName(again)
+    out = short.unionByName(again)
+    return out.drop("tag") if tag is None else out
