@@ -119,8 +119,8 @@ def _sliced(counts: np.ndarray) -> list[tuple[int, bytes]]:
     return [(k, z.compress(np.ascontiguousarray(x).tobytes())) for k, x in enumerate(np.split(counts, SLICES)) if x.any()]
 
 
-SURVEY = "doc_id long, n int, cls long, s array<long>, slice int, counts binary"
-_KINDS = [("doc_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("s", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())]
+SURVEY = "doc_id long, h long, n int, cls long, s array<long>, slice int, counts binary"
+_KINDS = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("s", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())]
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +136,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches.append(np.packbits(flips.astype(np.uint8)).view(np.int64).tolist())
         size = len(sets)
         yield pa.RecordBatch.from_arrays(
-            [b["doc_id"], pa.array([len(h) for h in sets], pa.int32()), pa.array([class_of(h) for h in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
+            [b["doc_id"], b["h"], pa.array([len(h) for h in sets], pa.int32()), pa.array([class_of(h) for h in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
             schema=schema,
         )
     rows = _sliced(counts)
     if rows:
-        empty = [pa.nulls(len(rows), kind) for _, kind in _KINDS[:4]]
+        empty = [pa.nulls(len(rows), kind) for _, kind in _KINDS[:5]]
         yield pa.RecordBatch.from_arrays([*empty, pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], schema=schema)
 
 
@@ -264,17 +264,17 @@ def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def similar(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, and the hash h of its text.
 
     Texts are read, never shuffled. Shuffled are about n / 3 keys of 16 bytes for a set of n,
     and the sets of classes that have a candidate. To the driver come two tables of fixed
     size, the rarity of shingles and the filter of wanted classes.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     survey = cut(docs.mapInArrow(_survey, SURVEY), "survey")
     rarity = spark.sparkContext.broadcast(_gather(survey.where("slice is not null").select("slice", "counts"), "uint32", "rarity", SLOTS).tobytes())
-    rows = survey.where("slice is null").select("doc_id", "n", "cls", "s")
+    rows = survey.where("slice is null").select("doc_id", "h", "n", "cls", "s")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("s").alias("s"))
     keyed = docs.select("text").mapInArrow(_emit_keys(rarity), "key long, cls long")
     stars = cut(keyed.repartition("key").mapInArrow(_stars, "key long, low long, cls long"), "stars")
@@ -301,5 +301,22 @@ def similar(documents: DataFrame) -> DataFrame:
     least = lowest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = cut(lowest.join(least, "component").select("cls", "component_id"), "components")
     drop(stars, info, first, open_, second)
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The documents, same columns, without those that resemble one of smaller doc_id.
+
+    Of a group the row of the smallest doc_id stays, of its rows the one whose text has the
+    smallest hash; a document without words is in no group and always stays.
+    """
+    docs = documents.withColumn("_h", F.xxhash64("text")).withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    found = cut(similar(documents), "similar")
+    release(documents.sparkSession)
+    grouped = found.where("n_shingles > 0")
+    stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("top")).select("top.*")
+    stay = stay.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_i"), F.col("h").alias("_h"))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(worded).join(stay.distinct(), ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"])
+    return kept.unionByName(docs.where(~worded)).select(*documents.columns)

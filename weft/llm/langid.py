@@ -206,22 +206,22 @@ def fit(docs: DataFrame, allowed: Column) -> Network:
     return train([s.encode() for _, _, s in sample], [name for name, _, _ in sample])
 
 
-def _label(net: Network, names: list[str]):
+def _label(net: Network, names: list[str], results: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             lang, score = predict(net, b["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, *results])
 
     return run
 
 
-def identify(docs: DataFrame, net: Network, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score. Only the text is looked at."""
+def identify(docs: DataFrame, net: Network, keep: list[str], results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` and the language and score under the names ``results``. Only the text is looked at."""
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = rows.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = rows.select(*keep, F.lit("").alias(results[0]), F.lit(0.0).alias(results[1])).schema
     for f in schema.fields:
         f.nullable = True
-    return rows.mapInArrow(_label(net, keep), schema)
+    return rows.mapInArrow(_label(net, keep, results), schema)
 
 
 def held_out(parts: int = 4, part: int = 2) -> Column:
