@@ -167,6 +167,8 @@ def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostl
     again = placed.join(heads, "component").where(F.struct("doc_id", "h", "at") != F.col("head"))
     per = again.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("at")).alias("ats"), F.sum("n").alias("repeated_chars"))
     totals = where.groupBy("doc_id", "h").agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum("n").alias("chars"))
+    empty = docs.where(F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.lit(0).alias("n_lines"), F.lit(0).cast("long").alias("chars"))
+    totals = totals.unionByName(empty.distinct())
     out = totals.alias("t").join(per.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.h") == F.col("p.h")), "left")
     none = F.array().cast("array<int>")
     copied = F.coalesce("repeated_chars", F.lit(0)) > F.col("chars") * mostly
