@@ -63,16 +63,26 @@ def bounded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     Bit k of a word is row j - edits + k of column j. VP and VN say where the column goes up
     and down by one; the value followed is the band's last diagonal, then the last row.
     """
+    return _let(
+        F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("m"), F.length(b).alias("n")), lambda t: _banded(t["x"], t["y"], t["m"], t["n"], edits)
+    )
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once; an expression used twice would else be written out twice."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _banded(x: Column, y: Column, m: Column, n: Column, edits: int) -> Column:
     w = 2 * edits + 1
     every = F.lit((1 << w) - 1).cast("long")
-    m, n = F.length(a), F.length(b)
-    x, y = F.split(a, ""), F.split(b, "")
     off = lambda v: v.bitwiseXOR(every)
-    bit = lambda v, k: F.shiftrightunsigned(v, k).bitwiseAND(F.lit(1).cast("long")) if isinstance(k, int) else F.call_function("shiftrightunsigned", v, k).bitwiseAND(F.lit(1).cast("long"))
+    bit = lambda v, k: F.call_function("shiftrightunsigned", v, k).bitwiseAND(F.lit(1).cast("long"))
 
     def matches(j: Column) -> Column:
-        here = F.get(y, j - 1)
-        return sum((F.when((F.get(x, j - edits + k - 1) == here) & (j - edits + k <= m), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(w)), F.lit(0).cast("long"))
+        near = F.slice(x, F.greatest(F.lit(1), j - edits), F.least(j + edits, m) - F.greatest(F.lit(1), j - edits) + 1)
+        lowest = F.greatest(F.lit(0), edits + 1 - j)
+        return _let(F.get(y, j - 1), lambda c: _let(near, lambda row: sum((F.when(F.get(row, F.lit(k) - lowest) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(w)), F.lit(0).cast("long"))))
 
     words = F.transform(F.sequence(F.lit(1), n), lambda j: F.struct(j.alias("j"), matches(j).alias("eq")))
 
@@ -87,13 +97,11 @@ def bounded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     def third(t: Column) -> Column:
         down = F.shiftright(t["d0"], 1)
         k = F.least(F.lit(w - 1), m - t["j"] + edits)
-        c = t["c"] + F.when(t["j"] + edits <= m, F.lit(1).cast("long") - bit(t["d0"], w - 1)).otherwise(bit(t["hp"], k) - bit(t["hn"], k))
+        c = t["c"] + F.when(t["j"] + edits <= m, F.lit(1).cast("long") - bit(t["d0"], F.lit(w - 1))).otherwise(bit(t["hp"], k) - bit(t["hn"], k))
         return F.struct(t["hn"].bitwiseOR(off(down.bitwiseOR(t["hp"]))).alias("vp"), down.bitwiseAND(t["hp"]).alias("vn"), c.alias("c"))
 
-    # a one-element transform names a step's result, which would else be written out at each use
-    name = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
     start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(F.lit(edits), m).cast("long").alias("c"))
-    banded = F.aggregate(words, start, lambda s, e: name(name(first(s, e), second), third), lambda s: s["c"])
+    banded = F.aggregate(words, start, lambda s, e: _let(_let(first(s, e), second), third), lambda s: s["c"])
     return F.when(F.abs(m - n) > edits, F.lit(edits + 1)).when(F.least(m, n) == 0, F.greatest(m, n)).otherwise(banded.cast("int"))
 
 
@@ -105,14 +113,18 @@ def _agreement(a: Column, b: Column, most: Column) -> Column:
 
 def near(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether two strings are within ``edits``; common ends are cut off first."""
-    shorter = F.least(F.length(a), F.length(b))
-    head = lambda then: F.element_at(F.transform(F.array(_agreement(a, b, shorter)), then), 1)
+    both = F.struct(a.alias("a"), b.alias("b"), F.reverse(a).alias("ra"), F.reverse(b).alias("rb"), F.length(a).alias("m"), F.length(b).alias("n"), F.least(F.length(a), F.length(b)).alias("most"))
+
+    def cut_head(t: Column) -> Column:
+        return F.struct(*[t[c].alias(c) for c in ("a", "b", "ra", "rb", "m", "n", "most")], _agreement(t["a"], t["b"], t["most"]).alias("h"))
+
+    def cut_tail(t: Column) -> Column:
+        return F.struct(*[t[c].alias(c) for c in ("a", "b", "m", "n", "h")], _agreement(t["ra"], t["rb"], t["most"] - t["h"]).alias("t"))
 
-    def rest(h: Column) -> Column:
-        tail = _agreement(F.reverse(a), F.reverse(b), shorter - h)
-        return F.element_at(F.transform(F.array(tail), lambda t: bounded_distance(F.substr(a, h + 1, F.length(a) - h - t), F.substr(b, h + 1, F.length(b) - h - t), edits)), 1)
+    def rest(t: Column) -> Column:
+        return F.struct(*[F.substr(t[c], t["h"] + 1, t[size] - t["h"] - t["t"]).alias(c) for c, size in (("a", "m"), ("b", "n"))])
 
-    return head(rest) <= edits
+    return _let(_let(_let(_let(both, cut_head), cut_tail), rest), lambda t: bounded_distance(t["a"], t["b"], edits)) <= edits
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
