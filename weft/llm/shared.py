@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space and upper case, as the word contracts define them.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, or where that is unset one beside the warehouse."""
@@ -29,7 +31,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for the table is of no use once it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.path = path
     return out
