@@ -11,8 +11,10 @@ key of the sparse ones of its band.
 
 Candidates pass a bound on size and one on the Hamming distance of 512-bit parity sketches,
 and are then compared shingle by shingle. Equal sets are one class from the start. The
-candidates of a key are first its smallest class with each other one; where that leaves
-several components, all pairs across them are tried, so no link between components is lost.
+candidates of a key are its smallest class with each other one: each class first with the one
+it meets so most often, then with the others that are not yet in its component; where that
+leaves several components, all pairs across them are tried, so no link between components
+is lost.
 
 Shingles are compared by 64-bit hashes. A text with fewer than five words is one shingle of
 all of them; one without words, or null, is an empty set and links with nothing. A null
@@ -37,6 +39,8 @@ WORDS = 5
 #: Counters of the sketch of frequencies, and slots of the filter of wanted classes: fixed sizes, in slices.
 SLOTS, SLICES, WANTED = 1 << 20, 32, 1 << 23
 BITS = 512
+#: Members of a star that one task compares with its centre.
+STAR = 256
 STEP = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -207,37 +211,49 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = np.zeros(WANTED, dtype=np.uint8)
     for b in batches:
-        marks[b["cls"].to_numpy().view(np.uint64) % np.uint64(WANTED)] = 1
+        marks[b["h"].to_numpy().view(np.uint64) % np.uint64(WANTED)] = 1
     rows = _sliced(marks)
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.binary())], ["slice", "counts"])
 
 
 def _emit_sets(wanted):
+    """The sets of texts whose hash is marked; the others are not even looked at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, seen = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8)), set()
-        for b in _steps(batches):
-            names, sets = [], []
-            for text in b["text"].to_pylist():
-                h = shingles(text)
-                name = class_of(h)
-                if len(h) and name not in seen and marks[name % (1 << 64) % WANTED]:
-                    seen.add(name) if len(seen) < 1_000_000 else seen.clear()
-                    names.append(name)
-                    sets.append(h.tobytes())
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["cls", "h"])
+        marks, seen = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8)).astype(bool), set()
+        for b in batches:
+            b = b.filter(pa.array(marks[b["h"].to_numpy().view(np.uint64) % np.uint64(WANTED)]))
+            for part in _steps([b]):
+                names, sets = [], []
+                for h, text in zip(part["h"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    if h in seen:
+                        continue
+                    seen.add(h) if len(seen) < 1_000_000 else seen.clear()
+                    own = shingles(text)
+                    if len(own):
+                        names.append(class_of(own))
+                        sets.append(own.tobytes())
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["cls", "h"])
 
     return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the members that resemble their star's centre; the centre's set comes first."""
+    star, centre, last = None, None, None
     for b in batches:
         out = []
-        for a, c, x, y in zip(*(b[k].to_pylist() for k in ("a", "b", "x", "y")), strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= 75 * (len(x) + len(y) - both):
-                out.append((a, c))
+        for own, salt, first, cls, h in zip(*(b[k].to_pylist() for k in ("star", "salt", "centre", "cls", "h")), strict=True):
+            if (own, salt) != star:
+                star, centre, last = (own, salt), None, None
+            if first:
+                centre = np.frombuffer(h, dtype=np.uint64)
+            elif cls != last:
+                last, x = cls, np.frombuffer(h, dtype=np.uint64)
+                both = len(np.intersect1d(x, centre, assume_unique=True))
+                if 100 * both >= 75 * (len(x) + len(centre) - both):
+                    out.append((own, cls))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
@@ -249,20 +265,29 @@ def _possible(x: str, y: str):
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m)
 
 
-def _compare(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
+def _compare(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar; info names a text of each class by its hash."""
     spark = docs.sparkSession
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    wanted = spark.sparkContext.broadcast(_gather(classes.mapInArrow(_mark, "slice int, counts binary"), "uint8", "wanted", WANTED // 8).tobytes())
-    sets = docs.mapInArrow(_emit_sets(wanted), "cls long, h binary").dropDuplicates(["cls"])
-    sets = cut(sets.join(classes.distinct(), "cls", "left_semi"), "sets")
-    one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("h").alias("x")), "a")
-    two = one.join(sets.select(F.col("cls").alias("b"), F.col("h").alias("y")), "b")
-    out = cut(two.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"), "links")
-    drop(sets)
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    named = info.select("cls", "h").join(classes, "cls", "left_semi").select("h")
+    wanted = spark.sparkContext.broadcast(_gather(named.mapInArrow(_mark, "slice int, counts binary"), "uint8", "wanted", WANTED // 8).tobytes())
+    sets = docs.select("h", "text").mapInArrow(_emit_sets(wanted), "cls long, h binary")
+    # a star's centre goes to as many places as its members need, a member once for each of its pairs
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
+    dealt = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    members = dealt.select(F.col("b").alias("cls"), F.col("a").alias("star"), "salt", F.lit(False).alias("centre"))
+    centres = dealt.select(F.col("a").alias("cls"), F.col("a").alias("star"), "salt", F.lit(True).alias("centre")).distinct()
+    routed = sets.join(members.unionAll(centres), "cls").repartition("star", "salt").sortWithinPartitions("star", "salt", F.desc("centre"), "cls")
+    out = cut(routed.select("star", "salt", "centre", "cls", "h").mapInArrow(_verify, "a long, b long"), "links")
+    release(spark)
     return out
 
 
+def _labelled(rows: DataFrame, named: DataFrame, by: str, label: str) -> DataFrame:
+    """Rows with the component of the class in column ``by``; a class without links is its own."""
+    return rows.join(named.select(F.col("node").alias(by), F.col("component").alias(label)), by, "left").withColumn(label, F.coalesce(label, by))
+
+
 def similar(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, and the hash h of its text.
 
@@ -275,32 +300,41 @@ def similar(documents: DataFrame) -> DataFrame:
     survey = cut(docs.mapInArrow(_survey, SURVEY), "survey")
     rarity = spark.sparkContext.broadcast(_gather(survey.where("slice is not null").select("slice", "counts"), "uint32", "rarity", SLOTS).tobytes())
     rows = survey.where("slice is null").select("doc_id", "h", "n", "cls", "s")
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("s").alias("s"))
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("s").alias("s"), F.min("h").alias("h"))
     keyed = docs.select("text").mapInArrow(_emit_keys(rarity), "key long, cls long")
     stars = cut(keyed.repartition("key").mapInArrow(_stars, "key long, low long, cls long"), "stars")
     release(spark)
 
     info = cut(classes.join(stars.select(F.explode(F.array("low", "cls")).alias("cls")).distinct(), "cls", "left_semi"), "classes")
-    first = stars.select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct()
-    first = first.join(info.alias("p"), F.col("a") == F.col("p.cls")).join(info.alias("q"), (F.col("b") == F.col("q.cls")) & _possible("p", "q")).select("a", "b")
-    first = cut(first, "candidates")
-    links = _compare(docs, first)
-    release(spark)
-
+    def candidates(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(info.alias("p"), F.col("a") == F.col("p.cls")).join(info.alias("q"), (F.col("b") == F.col("q.cls")) & _possible("p", "q"))
+        return cut(sized.select("a", "b"), "candidates")
+
+    # first each class with the one that is smallest for most of its keys, which settles most groups of copies
+    shared = cut(stars.groupBy("cls", "low").agg(F.count(F.lit(1)).alias("k")), "shared")
+    best = shared.groupBy("cls").agg(F.max(F.struct("k", "low")).alias("top")).select(F.col("top.low").alias("a"), F.col("cls").alias("b"))
+    links = _compare(docs, candidates(best), info)
     named = components(links)
+    # then with the others of which it is not yet known
+    apart = _labelled(_labelled(shared.select("low", "cls"), named, "low", "x"), named, "cls", "y").where("x != y")
+    more = candidates(apart.select(F.col("low").alias("a"), F.col("cls").alias("b")))
+    if not more.isEmpty():
+        links = cut(links.unionAll(_compare(docs, more, info)), "links")
+        named = components(links)
+    # and all pairs of a key that still lie in different components
     members = stars.select("key", "cls").unionAll(stars.select("key", F.col("low").alias("cls")).distinct())
-    members = members.join(named.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    members = _labelled(members, named, "cls", "component")
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("cls").alias("low")).where("x != y").select("key", "low")
     open_ = cut(members.join(mixed, "key").join(info.select("cls", "n", "s"), "cls"), "open")
     across = (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")) & (F.col("p.cls") != F.col("p.low")) & (F.col("p.component") != F.col("q.component")) & _possible("p", "q")
-    second = cut(open_.alias("p").join(open_.alias("q"), across).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct(), "candidates")
-    if not second.isEmpty():
-        links = cut(links.unionAll(_compare(docs, second)), "links")
+    last = cut(open_.alias("p").join(open_.alias("q"), across).select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b")).distinct(), "candidates")
+    if not last.isEmpty():
+        links = cut(links.unionAll(_compare(docs, last, info)), "links")
         named = components(links)
     lowest = classes.select("cls", "doc_id").join(named.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = lowest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = cut(lowest.join(least, "component").select("cls", "component_id"), "components")
-    drop(stars, info, first, open_, second)
+    drop(stars, info, shared, more, open_, last)
     out = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h")
 
