@@ -3,7 +3,8 @@
 A line is split into one segment more than the edits allowed. Two lines within that distance
 share a segment at nearly the same place, so a line's segments are indexed with its length
 and the segment's number, and every line probes, for each length that may be near its own,
-just the substrings that can match. Candidates lose their common beginning and end, and what
+just the substrings that can match. Candidates pass bounds on length and on the
+parities of their character pairs, lose their common beginning and end, and what
 is left is compared by a banded bit-parallel edit distance: one 64-bit word holds a column
 of the band. All of it is DataFrame expressions.
 
@@ -127,15 +128,33 @@ def near(a: Column, b: Column, edits: int = EDITS) -> Column:
     return _let(_let(_let(_let(both, cut_head), cut_tail), rest), lambda t: bounded_distance(t["a"], t["b"], edits)) <= edits
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) of line ids whose lines are within the edits; lines travel if they are in a pair."""
-    wanted = lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "line")
-    wanted = cut(wanted, "wanted")
-    one = pairs.join(wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+def sketch(line: Column) -> Column:
+    """Parities of the pairs of neighbouring characters in 124 bits; an edit changes four of them at most."""
+
+    def flip(x: Column, s: Column, j: Column) -> Column:
+        one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        at = F.pmod(F.xxhash64(F.get(x, j - 1), F.get(x, j)), F.lit(124)).cast("int")
+        return _let(at, lambda k: F.struct(
+            F.when(k < 62, s["p"].bitwiseXOR(one(F.least(k, F.lit(61))))).otherwise(s["p"]).alias("p"), F.when(k < 62, s["q"]).otherwise(s["q"].bitwiseXOR(one(F.greatest(k - 62, F.lit(0))))).alias("q")
+        ))
+
+    zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+    return _let(F.split(line, ""), lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 1)), zero, lambda s, j: flip(x, s, j)))
+
+
+def _possible(x: str, y: str, edits: int) -> Column:
+    """Bounds on lengths and sketches, as a join condition."""
+    apart = sum((F.bit_count(F.col(f"{x}.sketch")[c].bitwiseXOR(F.col(f"{y}.sketch")[c])) for c in ("p", "q")), F.lit(0))
+    return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (apart <= 4 * edits)
+
+
+def _verified(pairs: DataFrame, wanted: DataFrame, edits: int) -> DataFrame:
+    """The pairs (a, b) of line ids whose lines are within the edits; texts travel for pairs that pass the bounds."""
+    small = wanted.select("id", "n", "sketch")
+    maybe = pairs.join(small.alias("p"), F.col("a") == F.col("p.id")).join(small.alias("q"), (F.col("b") == F.col("q.id")) & _possible("p", "q", edits)).select("a", "b")
+    one = maybe.join(wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     two = one.join(wanted.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    out = cut(two.where(near(F.col("x"), F.col("y"), edits)).select("a", "b"), "links")
-    drop(wanted)
-    return out
+    return cut(two.where(near(F.col("x"), F.col("y"), edits)).select("a", "b"), "links")
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
@@ -153,19 +172,21 @@ def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE)
     lowest = every.where("indexed").groupBy("key").agg(F.min("id").alias("low"))
     met = cut(every.join(lowest, "key").where("id != low").select("key", "low", "id", "indexed"), "met")
     release(spark)
-    first = met.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(cut(first, "candidates"), lines, edits)
+    wanted = lines.join(met.select(F.explode(F.array("low", "id")).alias("id")).distinct(), "id", "left_semi")
+    wanted = cut(wanted.select("id", "line", "n", sketch(F.col("line")).alias("sketch")), "wanted")
+    links = _verified(met.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), wanted, edits)
     release(spark)
     named = components(links)
     mine = met.where("indexed").select("key").distinct()
     members = met.join(mine, "key").join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = cut(members.select("key", "id", "indexed", "component"), "open")
-    pair = open_.where("indexed").alias("p").join(open_.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")))
+    open_ = cut(members.join(wanted.select("id", "n", "sketch"), "id").select("key", "id", "indexed", "component", "n", "sketch"), "open")
+    across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & _possible("p", "q", edits)
+    pair = open_.where("indexed").alias("p").join(open_.alias("q"), across)
     second = cut(pair.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct(), "candidates")
     if not second.isEmpty():
-        links = cut(links.unionAll(_verified(second, lines, edits)), "links")
+        links = cut(links.unionAll(_verified(second, wanted, edits)), "links")
         named = components(links)
-    drop(met, open_, second, lines)
+    drop(met, open_, second, wanted, lines)
     return named.select(F.col("node").alias("id"), "component")
 
 
