@@ -21,11 +21,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import interval
+from weft.llm.shared import cut, interval, release
 
 #: Texts of one bucket of the document order; more buckets only cost a little bookkeeping.
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 8 << 20, 64, 16_384
 
+#: Rows that a task unpacks at once.
+STEP = 500
+
 
 def canonical(text: str) -> str:
     """The form that is hashed: NFKC, case-folded, runs of white space as one space."""
@@ -33,8 +36,8 @@ def canonical(text: str) -> str:
     return " ".join(folded.split())
 
 
-def digest(form: bytes) -> str:
-    return xxhash.xxh3_128_hexdigest(form)
+def digest(form: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(form)
 
 
 def edited(text: str, following: str) -> str:
@@ -44,22 +47,22 @@ def edited(text: str, following: str) -> str:
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(1)
-    for b in batches:
+    z = zstandard.ZstdCompressor(3)
+    for b in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
         packed = pa.array([z.compress((t or "").encode()) for t in b["text"].to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([b["bucket"], b["ghost"], b["doc_id"], b["h"], packed], ["bucket", "ghost", "doc_id", "h", "z"])
 
 
-ROWS = "doc_id long, n_chars long, edited_sha256 string, h string, eh string, wide string, edited_wide string, near_edited double, near_next double, form binary, edited_form binary"
+ROWS = "doc_id long, n_chars long, edited_sha256 binary, h binary, eh binary, wide binary, edited_wide binary, near_edited double, near_next double"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the one after it in its bucket; ghosts only end a bucket."""
-    pack, unpack = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+    unpack = zstandard.ZstdDecompressor()
     names = [f.split()[0] for f in ROWS.split(", ")]
-    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.float64(), pa.float64()]
     held = None
-    for b in batches:
+    for b in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
         out = []
         for bucket, ghost, doc_id, z in zip(*(b[c].to_pylist() for c in ("bucket", "ghost", "doc_id", "z")), strict=True):
             text = unpack.decompress(z).decode()
@@ -68,13 +71,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, own_id, own, own_form = held
                 new = edited(own, text)
                 new_form = canonical(new).encode()
-                out.append((own_id, len(own), hashlib.sha256(new.encode()).hexdigest(), digest(own_form), digest(new_form),
-                            hashlib.sha256(own_form).hexdigest(), hashlib.sha256(new_form).hexdigest(), float(own_form == new_form), float(own_form == form), pack.compress(own_form), pack.compress(new_form)))
+                out.append((own_id, len(own), hashlib.sha256(new.encode()).digest(), digest(own_form), digest(new_form),
+                            hashlib.sha256(own_form).digest(), hashlib.sha256(new_form).digest(), float(own_form == new_form), float(own_form == form)))
             held = None if ghost else (bucket, doc_id, text, form)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's hash and compressed canonical form; a task sends a repeated form once."""
+    pack, seen = zstandard.ZstdCompressor(3), set()
+    for b in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
+        out = {}
+        for text in b["text"].to_pylist():
+            form = canonical(text or "").encode()
+            out[hashlib.sha256(form).digest()] = form
+        new = [f for wide, f in out.items() if wide not in seen]
+        if len(seen) > 500_000:
+            seen.clear()
+        seen.update(out)
+        if new:
+            yield pa.RecordBatch.from_arrays([pa.array([digest(f) for f in new], pa.binary()), pa.array([pack.compress(f) for f in new], pa.binary())], ["h", "form"])
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(bucket, ghost, doc_id, h, text): documents cut into ranges of descending doc_id.
 
@@ -101,19 +120,22 @@ def in_order(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and both likenesses.
 
-    Texts travel once, compressed, to their range of the order, and once more as canonical
-    forms to their bucket of equal hashes, where a minimum and a maximum compare the bytes;
-    both shrink before the shuffle, so a hot group of copies costs each task one row.
+    Texts travel once, compressed, to their range of the order, whose results are written
+    down before canonical forms travel to their buckets of equal hashes. There a minimum and a
+    maximum compare the bytes; both shrink before the shuffle, so a hot group of copies costs
+    each task one row. The documents make the buckets; an edited text is looked up in them,
+    and its likenesses to its own and the next document are comparisons of bytes.
     """
     packed = in_order(docs).mapInArrow(_compress, "bucket int, ghost boolean, doc_id long, h long, z binary")
     ordered = packed.repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc("h"))
-    rows = ordered.mapInArrow(_pairs, ROWS)
-    clash = clashing(rows.select(F.explode(F.array(F.struct("h", "form"), F.struct(F.col("eh").alias("h"), F.col("edited_form").alias("form"))))).select("col.*"))
-    out = rows.drop("form", "edited_form")
+    out = cut(ordered.mapInArrow(_pairs, ROWS), "fingerprints")
+    release(docs.sparkSession)
+    clash = clashing(docs.select("text").mapInArrow(_forms, "h binary, form binary"))
+    text = lambda c: F.lower(F.hex(c))
     for h, wide, name in (("h", "wide", "fingerprint"), ("eh", "edited_wide", "edited_fingerprint")):
         out = out.join(clash.select(F.col("h").alias("clash")), F.col(h) == F.col("clash"), "left")
-        out = out.withColumn(name, F.when(F.col("clash").isNull(), F.col(h)).otherwise(F.concat(h, F.lit(":"), wide))).drop("clash")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+        out = out.withColumn(name, F.concat_ws(":", text(h), F.when(F.col("clash").isNotNull(), text(wide)))).drop("clash")
+    return out.select("doc_id", "n_chars", text("edited_sha256").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def clashing(forms: DataFrame) -> DataFrame:
