@@ -13,9 +13,9 @@ smallest indexed line with each other line; where that leaves several components
 across them are tried.
 
 Of a class of lines the first occurrence (by doc_id, text and line number) stays. Only lines
-of at least MIN_LINE characters count. A document of which more than MOSTLY repeats earlier
-lines is a copy rather than a page with boilerplate: it is left whole, for the stage that
-compares documents.
+of at least MIN_LINE characters count. Every document loses its repeats, also one that is
+nothing else; a caller can ask by ``mostly`` that a document of which a larger share repeats
+is left whole, which is the default of ``repeats`` but neither of the query nor the pipeline.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes first. Rows that are
 wholly equal share one decision, so both keep what either keeps.
@@ -190,8 +190,11 @@ def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE)
     return named.select(F.col("node").alias("id"), "component")
 
 
-def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostly: float = MOSTLY) -> DataFrame:
-    """One row per distinct (doc_id, text): doc_id, h, n_lines, n_repeated, repeated_chars, removed (line numbers from 0)."""
+def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostly: float | None = MOSTLY) -> DataFrame:
+    """One row per distinct (doc_id, text): doc_id, h, n_lines, n_repeated, repeated_chars, removed (line numbers from 0).
+
+    With ``mostly`` None all repeats are removed, from every document.
+    """
     where = cut(_exploded(docs.select("doc_id", "text")).select("doc_id", "h", "at", "n", "id").distinct(), "places")
     classes = line_classes(docs, edits, shortest)
     counted = where.where(F.col("n") >= shortest)
@@ -204,7 +207,7 @@ def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostl
     totals = totals.unionByName(empty.distinct())
     out = totals.alias("t").join(per.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.h") == F.col("p.h")), "left")
     none = F.array().cast("array<int>")
-    copied = F.coalesce("repeated_chars", F.lit(0)) > F.col("chars") * mostly
+    copied = F.lit(False) if mostly is None else F.coalesce("repeated_chars", F.lit(0)) > F.col("chars") * mostly
     return out.select(
         "t.doc_id", "t.h", "n_lines", F.size(F.coalesce("ats", none)).alias("n_repeated"), F.coalesce("repeated_chars", F.lit(0)).alias("repeated_chars"),
         F.when(copied, none).otherwise(F.coalesce("ats", none)).alias("removed"),
