@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a bigram trie of them, in one memory-mapped file.
+"""Elias-Fano sequences and a level of an n-gram trie of them, in one memory-mapped file.
 
 A monotone sequence keeps the low bits of its values side by side and the high bits in unary.
 All searches take arrays and answer them together.
@@ -108,9 +108,9 @@ def quantise(logs: np.ndarray, lowest: float) -> np.ndarray:
 
 
 class Trie:
-    """Contexts, their words and the quantised probabilities, memory-mapped.
+    """One order's level of an n-gram trie: contexts, their words and the quantised probabilities, memory-mapped.
 
-    Level one: the contexts, ascending, each with a pointer to its words and a back-off
+    A context is named by the number of its n-gram on the level above. Level one: the contexts, ascending, each with a pointer to its words and a back-off
     weight. Level two: all words, each raised by what the ranges before its own reach, so
     that the level is one monotone sequence; a word is found by a successor search relative
     to its context's base, inside the context's range.

@@ -1,13 +1,18 @@
 """Language-model scores from an n-gram trie that is spread over shards.
 
-Words get numbers and counts in shards by hash. Every block of documents then sends its
-(word before, word) pairs to the shards of those pairs; a shard adds up the training counts,
-builds an Elias-Fano trie of smoothed probabilities, and answers for each document the sum
-over its pairs, found by successor search relative to the context. No task holds more than a
-block of documents or a shard of pairs; both are of a set size, their number grows.
-
-p(w | v) = (c(vw) + MU p(w)) / (c(v) + MU), and p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
-A frequent context is spread over shards by its words, in proportion to its count.
+Words get numbers and counts in shards by hash. Then there is a round for each order from 2:
+every block of documents sends its (context, word) pairs to the shards of those pairs, where
+a context is the number of the n-gram before the word; a shard adds up the training counts
+and builds its part of the trie's level, Elias-Fano sequences with smoothed probabilities.
+In all rounds but the last it answers number, count and probability of each pair, by which
+the block names its contexts of the next order; in the last the sum over each document's
+pairs, found by successor search relative to the context. No task holds more than a block of
+documents or a shard of pairs; both are of a set size, their number grows.
+
+p(w | c) = (c(cw) + MU p(w | d)) / (c(c) + MU), where d is the context c without its first
+word, and p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). Before a document stands its start, as
+often as the order needs. p(w | d) travels as a 16-bit code where d is not empty. A frequent
+context is spread over shards by its words, in proportion to its count.
 
 Words are runs without ASCII white space, A-Z in lower case; one end follows a text. They are
 told apart by 64-bit hashes. A null text is empty; rows that repeat count as often as they
@@ -26,10 +31,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.eliasfano import Trie
+from weft.llm.eliasfano import Trie, quantise
 from weft.llm.shared import LOWER, cut, drop, release, text_bytes
 
 MU = 16.0
+#: Words of an n-gram, the scored word among them.
+ORDER = 3
 #: Tokens of a block of documents; text bytes to a shard of the model.
 BLOCK, SHARD_BYTES = 1_500_000, 12 << 20
 #: Pairs of a context go to one more shard for each so many of its tokens.
@@ -148,22 +155,43 @@ def _answer_words(shards: int):
     return run
 
 
-ROUTED = "route long, block long, context binary, heads binary, totals binary, word binary, singles binary, owner binary, doc_id array<long>, rows binary"
-_ROUTED = pa.schema([("route", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("context", "heads", "totals", "word", "singles", "owner")), ("doc_id", pa.list_(pa.int64())), ("rows", pa.binary())])
-#: Of every document: tokens, known tokens, base score.
-FACTS = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
+ROUTED = "route long, block long, context binary, heads binary, totals binary, word binary, lowers binary, owner binary, doc_id array<long>, rows binary"
+_ROUTED = pa.schema([("route", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("context", "heads", "totals", "word", "lowers", "owner")), ("doc_id", pa.list_(pa.int64())), ("rows", pa.binary())])
+#: Of every document: tokens, known tokens, base score, score by the order before the last.
+FACTS = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8"), ("lower", "<f8")])
+STEP = Trie.LOWEST / 65535
+
 
+def _pairs(gram: np.ndarray, count: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: int, shards: int):
+    """A block's (context, word) pairs in order of shard, context and word.
 
-def _ask_pairs(shards: int, n: int, v: int):
-    """A block's pairs to their shards, and its documents' facts to where their sums will meet."""
+    The contexts, their totals, the order of the tokens, where each shard begins in it, and
+    for each of its places whether a pair of the block begins there.
+    """
+    context, total = np.roll(gram, 1), np.roll(count, 1)
+    context[starts], total[starts] = 0, ends
+    spread = (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % (1 + total // SPREAD).astype(np.uint64)
+    shard = ((context * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)) + spread) % np.uint64(shards)
+    # two sorts of 64-bit keys; contexts beyond 32 bits by their rank in the block
+    low = context if not len(context) or int(context.max()) < 1 << 32 else np.unique(context, return_inverse=True)[1].astype(np.uint64)
+    key = (low << np.uint64(32)) | word
+    first = np.argsort(key, kind="stable")
+    first = first[np.argsort(shard[first].astype(np.uint32), kind="stable")]
+    key, cuts = key[first], np.searchsorted(shard[first], np.arange(shards + 1, dtype=np.uint64))
+    new = np.concatenate([[True], key[1:] != key[:-1]])  # a pair is in one shard
+    return context, total, first, cuts, new
+
+
+def _ask_pairs(shards: int, n: int, v: int, order: int, last: bool):
+    """A block's pairs of an order to their shards; in the last round also its documents' facts to where their sums will meet."""
     bottom = n + 0.1 * (v + 1)
 
-    def one(block: dict, answers: list[dict]) -> Iterator[pa.RecordBatch]:
+    def one(block: dict, answers: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
         hashes = _un(block["words"], np.uint64)
-        order, begin = _by_shard(hashes, shards)
+        by, begin = _by_shard(hashes, shards)
         number, count = np.empty(len(hashes), dtype=np.uint64), np.empty(len(hashes), dtype=np.int64)
-        for a in answers:
-            at = order[begin[a["shard"]] : begin[a["shard"] + 1]]
+        for a in answers[1]:
+            at = by[begin[a["shard"]] : begin[a["shard"] + 1]]
             number[at], count[at] = _un(a["numbers"], np.uint32), _un(a["counts"], np.uint32)
         tokens, sizes = _un(block["tokens"], np.uint32), _un(block["sizes"], np.uint32).astype(np.int64)
         train, docs = np.frombuffer(block["train"], dtype=np.uint8), len(sizes)
@@ -172,66 +200,90 @@ def _ask_pairs(shards: int, n: int, v: int):
         facts = np.zeros(docs, dtype=FACTS)
         facts["tokens"] = sizes
         facts["known"] = np.bincount(owner, (count > 0)[tokens], docs)
-        facts["base"] = np.add.reduceat(np.log10((count + 0.1) / bottom)[tokens], starts) if docs else 0
+        facts["base"] = facts["lower"] = np.add.reduceat(np.log10((count + 0.1) / bottom)[tokens], starts) if docs else 0
         word, own_count = number[tokens], count[tokens]
-        context, total = np.roll(word, 1), np.roll(own_count, 1)
         ends = int(own_count[starts[0] + sizes[0] - 1])  # every document that trains has one end, and one start
-        context[starts], total[starts] = 0, ends
-        spread = (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % (1 + total // SPREAD).astype(np.uint64)
-        shard = ((context * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)) + spread) % np.uint64(shards)
-        # by shard, context, word: two sorts of 64-bit keys
-        first = np.argsort((context << np.uint64(32)) | word, kind="stable")
-        first = first[np.argsort(shard[first].astype(np.uint32), kind="stable")]
-        shard, context, word, total, own_count = shard[first], context[first], word[first], total[first], own_count[first]
-        owner = ((owner[first] << 1) | train[owner[first]]).astype(np.uint32)
-        cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+        # what stands before a word: the number and count of the n-gram that ends there, longer round by round
+        gram, grams, lowers = word, own_count, own_count.astype(np.uint32)
+        for k in range(2, order):
+            *_, first, cuts, new = _pairs(gram, grams, word, starts, ends, shards)
+            pair = np.cumsum(new) - 1
+            names, counts, codes = np.empty(pair[-1] + 1, dtype=np.uint64), np.empty(pair[-1] + 1, dtype=np.int64), np.empty(pair[-1] + 1, dtype=np.uint16)
+            for a in answers[k]:
+                own = slice(pair[cuts[a["shard"]]], pair[cuts[a["shard"] + 1] - 1] + 1)
+                names[own] = _un(a["numbers"], np.uint32).astype(np.uint64) * np.uint64(shards) + np.uint64(a["shard"] + 1)
+                counts[own], codes[own] = _un(a["counts"], np.uint32), _un(a["codes"], np.uint16)
+            gram, grams, lowers = np.empty_like(word), np.empty_like(own_count), np.empty(len(word), dtype=np.uint16)
+            gram[first], grams[first], lowers[first] = names[pair], counts[pair], codes[pair]
+        if order > 2:
+            facts["lower"] = np.add.reduceat(lowers * STEP, starts)
+        context, total, first, cuts, new = _pairs(gram, grams, word, starts, ends, shards)
+        trains = train[owner[first]]
+        if last:
+            owner = ((owner[first] << 1) | trains).astype(np.uint32)
+        else:  # each pair once, with its training count in the block
+            at = np.flatnonzero(new)
+            owner, first, cuts = np.add.reduceat(trains, at, dtype=np.uint32), first[at], np.searchsorted(at, cuts)
+        context, word, total, lowers = context[first], word[first], total[first], lowers[first]
         columns: list[list] = [[] for _ in _ROUTED]
         for s in np.flatnonzero(np.diff(cuts)):
             own = slice(cuts[s], cuts[s + 1])
             c = context[own]
             new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            row = [int(s), block["block"], _z(np.diff(np.append(new, len(c))).astype(np.uint32)), _z(c[new].astype(np.uint32)), _z(total[own][new].astype(np.uint32)), _z(word[own].astype(np.uint32)), _z(own_count[own].astype(np.uint32)), _z(owner[own]), None, None]
+            row = [int(s), block["block"], _z(np.diff(np.append(new, len(c))).astype(np.uint32)), _z(c[new]), _z(total[own][new].astype(np.uint32)), _z(word[own].astype(np.uint32)), _z(lowers[own]), _z(owner[own]), None, None]
             for column, x in zip(columns, row, strict=True):
                 column.append(x)
-        for column, x in zip(columns, [-1 - block["block"], block["block"], *[None] * 6, block["doc_id"], facts.tobytes()], strict=True):
-            column.append(x)
+        if last:
+            for column, x in zip(columns, [-1 - block["block"], block["block"], *[None] * 6, block["doc_id"], facts.tobytes()], strict=True):
+                column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROUTED, strict=True)], schema=_ROUTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _rows_by(batches, "block"):
             (block,) = (r for r in rows if r["tokens"] is not None)
-            yield from one(block, [r for r in rows if r["tokens"] is None])
+            yield from one(block, {k: [r for r in rows if r["round"] == k] for k in range(1, order)})
 
     return run
 
 
+PAIRS = "block long, shard int, numbers binary, counts binary, codes binary"
 SUMS = "block long, doc_id array<long>, rows binary, docs binary, sums binary"
 
 
-def _answer_pairs(n: int, v: int):
-    """A shard's trie, and each block's sums of log10 p(w | v) - log10 p(w) by document."""
+def _answer_pairs(n: int, v: int, order: int, last: bool):
+    """A shard's part of an order's level, and what it says of each block's pairs.
+
+    That is number, training count and coded log10 p of each; in the last round the sums by
+    document of log10 p less that of the order before.
+    """
     bottom = n + 0.1 * (v + 1)
 
     def one(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        heads = [_un(r["heads"], np.uint32) for r in rows]
+        heads = [_un(r["heads"], np.uint64) for r in rows]
         runs = [_un(r["context"], np.uint32) for r in rows]
-        key = np.repeat(np.concatenate(heads), np.concatenate(runs)).astype(np.uint64) << np.uint64(32)
+        names, at, head = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
+        key = np.repeat(head, np.concatenate(runs)).astype(np.uint64) << np.uint64(32)
         key |= np.concatenate([_un(r["word"], np.uint32) for r in rows])
-        single = np.concatenate([_un(r["singles"], np.uint32) for r in rows])
+        lowers = np.concatenate([_un(r["lowers"], np.uint32 if order == 2 else np.uint16) for r in rows])
         owners = [_un(r["owner"], np.uint32) for r in rows]
         owner = np.concatenate(owners)
         pairs, first, which = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(which, owner & 1, len(pairs))
-        lower = (single[first] + 0.1) / bottom
-        context, word = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-        names, at = np.unique(np.concatenate(heads), return_index=True)
+        count = np.bincount(which, owner & 1 if last else owner, len(pairs))
+        base = np.log10((lowers[first] + 0.1) / bottom) if order == 2 else lowers[first] * STEP
+        above, word = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
         total = np.concatenate([_un(r["totals"], np.uint32) for r in rows])[at].astype(np.float64)
         seen = count > 0
-        below = total[np.searchsorted(names, context[seen])]
-        smooth = np.log10((count[seen] + MU * lower[seen]) / (below + MU))
-        trie = Trie(context[seen], word[seen], smooth, names, np.log10(MU / (total + MU)))
-        base = np.log10(lower)
-        more = (trie.logs(context, word, base) - base)[which]
+        smooth = np.log10((count[seen] + MU * 10 ** base[seen]) / (total[above[seen]] + MU))
+        trie = Trie(names[above[seen]], word[seen], smooth, names, np.log10(MU / (total + MU)))
+        logs = trie.logs(names[above], word, base)
+        if not last:
+            begin, codes = 0, quantise(logs, Trie.LOWEST)
+            for r, own in zip(rows, owners, strict=True):
+                w = which[begin : begin + len(own)]
+                begin += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["route"]], pa.int32()), *(pa.array([_z(x)], pa.binary()) for x in (w.astype(np.uint32), count[w].astype(np.uint32), codes[w]))], ["block", "shard", "numbers", "counts", "codes"])
+            return
+        more = (logs - base)[which]
         begin = 0
         for r, own in zip(rows, owners, strict=True):
             docs, place = np.unique(own >> 1, return_inverse=True)
@@ -258,19 +310,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _rows_by(batches, "block"):
         (head,) = (r for r in rows if r["rows"] is not None)
         facts = np.frombuffer(head["rows"], dtype=FACTS)
-        score = facts["base"].copy()
+        score = facts["lower"].copy()
         for r in sorted((r for r in rows if r["rows"] is None), key=lambda r: r["docs"] + r["sums"]):
             score[_un(r["docs"], np.uint32)] += _un(r["sums"], np.float32)
         columns = [pa.array(head["doc_id"], pa.int64()), pa.array(facts["tokens"].copy()), pa.array(facts["known"].copy()), pa.array(facts["base"].copy()), pa.array(score)]
         yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
 
 
-def score(docs: DataFrame, train: Column) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train`` says which documents the model learns from. To the driver come two numbers, the
-    tokens and the distinct words of training.
+    ``train`` says which documents the model learns from, ``order`` of how many words its
+    n-grams are, 2 at least. To the driver come two numbers, the tokens and the distinct words
+    of training.
     """
+    if order < 2:
+        raise ValueError("an order below 2 has no context")
     spark = docs.sparkSession
     shards = max(4, text_bytes(docs) // SHARD_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
@@ -280,17 +335,24 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     answers = cut(dealt.mapInArrow(_answer_words(shards), "block long, shard int, numbers binary, counts binary, n long, v long"), "words")
     release(spark)
     n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).collect()[0])
-    told = answers.where("block is not null").select("block", "shard", "numbers", "counts")
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    both = blocks.select("block", none("shard", "int"), none("numbers", "binary"), none("counts", "binary"), "doc_id", "train", "sizes", "tokens", "words").unionAll(
-        told.select("block", "shard", "numbers", "counts", none("doc_id", "array<long>"), *(none(c, "binary") for c in ("train", "sizes", "tokens", "words")))
-    )
-    routed = both.repartition("block").sortWithinPartitions("block").mapInArrow(_ask_pairs(shards, n, v), ROUTED)
-    sums = cut(routed.repartition("route").sortWithinPartitions("route").mapInArrow(_answer_pairs(n, v), SUMS), "sums")
-    release(spark)
+    given, said = ("doc_id", "train", "sizes", "tokens", "words"), ("numbers", "counts", "codes")
+    both = blocks.select("block", none("round", "int"), none("shard", "int"), *(none(c, "binary") for c in said), *given)
+    tables = [answers]
+    for k in range(2, order + 1):
+        told = tables[-1].where("block is not null")
+        if k == 2:
+            told = told.withColumn("codes", none("codes", "binary"))
+        both = both.unionAll(told.select("block", F.lit(k - 1).alias("round"), "shard", *said, none("doc_id", "array<long>"), *(none(c, "binary") for c in given[1:])))
+        last = k == order
+        routed = both.repartition("block").sortWithinPartitions("block").mapInArrow(_ask_pairs(shards, n, v, k, last), ROUTED)
+        dealt = routed.repartition("route").sortWithinPartitions("route")
+        tables.append(cut(dealt.mapInArrow(_answer_pairs(n, v, k, last), SUMS if last else PAIRS), "sums" if last else "pairs"))
+        release(spark)
+    sums = tables[-1]
     out = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_meet, SCORES)
     out = cut(out, "scores")
-    drop(blocks, answers, sums)
+    drop(blocks, *tables)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -60,7 +60,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    scored = lm.score(docs, ~lm.held_out() & F.col("doc_id").isNotNull())
+    scored = lm.score(docs, ~lm.held_out() & F.col("doc_id").isNotNull(), lm.ORDER)
     return scored.select("doc_id", lm.held_out().alias("held_out"), *scored.columns[1:])
 
 
