@@ -289,7 +289,10 @@ def _labelled(rows: DataFrame, named: DataFrame, by: str, label: str) -> DataFra
 
 
 def similar(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and the hash h of its text.
+    """One row per document: doc_id, n_shingles, component_id, the hash h of its text, and its component.
+
+    The component is the class that names it, null for a document without words; unlike
+    component_id it tells groups apart whatever their doc_ids.
 
     Texts are read, never shuffled. Shuffled are about n / 3 keys of 16 bytes for a set of n,
     and the sets of classes that have a candidate. To the driver come two tables of fixed
@@ -333,23 +336,25 @@ def similar(documents: DataFrame) -> DataFrame:
         named = components(links)
     lowest = classes.select("cls", "doc_id").join(named.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = lowest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = cut(lowest.join(least, "component").select("cls", "component_id"), "components")
+    by_class = cut(lowest.join(least, "component").select("cls", "component", "component_id"), "components")
     drop(stars, info, shared, more, open_, last)
     out = rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(by_class, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h", "component")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents, same columns, without those that resemble one of smaller doc_id.
+    """The documents, same columns, one of each group of similar ones.
 
     Of a group the row of the smallest doc_id stays, of its rows the one whose text has the
-    smallest hash; a document without words is in no group and always stays.
+    smallest hash; a null doc_id comes last. Groups are told apart by their sets of shingles,
+    so unlike documents stay also where their doc_ids are null or equal. A document without
+    words is in no group and always stays.
     """
     docs = documents.withColumn("_h", F.xxhash64("text")).withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     found = cut(similar(documents), "similar")
     release(documents.sparkSession)
     grouped = found.where("n_shingles > 0")
-    stay = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("top")).select("top.*")
+    stay = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("top")).select("top.*")
     stay = stay.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_i"), F.col("h").alias("_h"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = docs.where(worded).join(stay.distinct(), ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"])

@@ -20,7 +20,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return similar(_table(spark, folder, "documents")).drop("h")
+    return similar(_table(spark, folder, "documents")).drop("h", "component")
 
 
 def op10(spark: SparkSession, folder: str) -> DataFrame:
