@@ -28,3 +28,10 @@ def test_no_document_is_exempt(spark, tmp_path):
     rows = [(i, stock[i] + "\n" + line() + "\n" + line()) for i in range(6)]
     rows += [(10, "\n".join([own] * 5)), (11, "\n".join([*stock, line()])), (12, stock[0])]
     check(spark, tmp_path, rows, {10: [1, 2, 3, 4], 11: [0, 1, 2, 3, 4, 5], 12: [0]})
+
+
+def test_short_lines_by_equality(spark, tmp_path):
+    """Short lines repeat if they are equal, not if they are near; empty ones never do."""
+    long = "a line of more than twenty-four characters"
+    rows = [(0, "All rights reserved.\n\nx\n" + long), (1, "All rights reserved!\n\nfresh words"), (2, "All rights reserved.\n\n" + long + "!\ny"), (3, "x\nx\n\nz"), (4, "All rights reserved.")]
+    check(spark, tmp_path, rows, {2: [0, 2], 3: [0, 1], 4: [0]})

@@ -12,10 +12,11 @@ Equal lines are one from the start, by a 64-bit hash. The candidates of a key ar
 smallest indexed line with each other line; where that leaves several components, all pairs
 across them are tried.
 
-Of a class of lines the first occurrence (by doc_id, text and line number) stays. Only lines
-of at least MIN_LINE characters count. Every document loses its repeats, also one that is
+Of a class of lines the first occurrence (by doc_id, text and line number) stays. Lines of at
+least MIN_LINE characters are compared with edits; with ``exact`` 1 all shorter ones that are
+not empty count by equality, as in the query and the pipeline. By default they do not. Every document loses its repeats, also one that is
 nothing else; a caller can ask by ``mostly`` that a document of which a larger share repeats
-is left whole, which is the default of ``repeats`` but neither of the query nor the pipeline.
+is left whole, which too is the default of ``repeats`` but neither of the query nor the pipeline.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes first. Rows that are
 wholly equal share one decision, so both keep what either keeps.
@@ -190,14 +191,15 @@ def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE)
     return named.select(F.col("node").alias("id"), "component")
 
 
-def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostly: float | None = MOSTLY) -> DataFrame:
+def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostly: float | None = MOSTLY, exact: int | None = None) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, h, n_lines, n_repeated, repeated_chars, removed (line numbers from 0).
 
-    With ``mostly`` None all repeats are removed, from every document.
+    With ``mostly`` None all repeats are removed, from every document. Lines shorter than
+    ``shortest`` count from ``exact`` characters on, by equality.
     """
     where = cut(_exploded(docs.select("doc_id", "text")).select("doc_id", "h", "at", "n", "id").distinct(), "places")
     classes = line_classes(docs, edits, shortest)
-    counted = where.where(F.col("n") >= shortest)
+    counted = where.where(F.col("n") >= (shortest if exact is None else min(shortest, max(1, exact))))
     placed = counted.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = placed.groupBy("component").agg(F.min(F.struct("doc_id", "h", "at")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
     again = placed.join(heads, "component").where(F.struct("doc_id", "h", "at") != F.col("head"))

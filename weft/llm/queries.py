@@ -70,7 +70,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's lines, how many of them repeat an earlier one, and which those are: all are removed."""
-    return lines.repeats(_table(spark, folder, "documents"), mostly=None).drop("h")
+    return lines.repeats(_table(spark, folder, "documents"), mostly=None, exact=1).drop("h")
 
 
 def op8(spark: SparkSession, folder: str) -> DataFrame:
