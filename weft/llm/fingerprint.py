@@ -3,7 +3,9 @@
 A text is normalised (NFKC), case-folded and its white space folded; the 128-bit xxHash of
 that form is the fingerprint. Inside a bucket of equal hashes the canonical bytes are
 compared; if two forms ever share a hash, every member of the bucket gets a SHA-256 of its
-form appended, so that equal fingerprints always mean equal canonical texts.
+form appended, so that equal fingerprints of documents always mean equal canonical texts.
+The buckets are made of the documents' forms alone: an edited text is told apart from what
+shares its hash only where documents clash there, else by the 128 bits of the hash.
 
 Nulls: a null text is the empty text; a null doc_id sorts after all others. Ties of doc_id
 are ordered by the text's hash; rows that are wholly equal are interchangeable.
