@@ -13,6 +13,7 @@ documents that the caller allows. A text that is null or has no letter is ``und`
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,22 +188,25 @@ def predict(net: Network, texts: list[str | None]) -> tuple[list[str], list[floa
 def fit(docs: DataFrame, allowed: Column) -> Network:
     """A network from a bounded sample of the labelled documents that ``allowed`` lets through.
 
-    The driver receives one row per language and PER_LANGUAGE snippets or so of each.
+    Equal texts of a language are one. The driver receives one row per language and twice
+    PER_LANGUAGE snippets or so of each, of which the PER_LANGUAGE smallest draws are taken.
     """
-    rows = docs.where(allowed & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(allowed & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    many = {r.lang: r.n for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not many:
         return Network([], None, None, None, None)
     share = F.lit(0.0)
     for name, n in many.items():
-        share = F.when(F.col("lang") == name, F.lit(PER_LANGUAGE / n)).otherwise(share)
-    draw = F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))
+        share = F.when(F.col("lang") == name, F.lit(2 * PER_LANGUAGE / n)).otherwise(share)
+    draw = F.col("h").bitwiseAND(F.lit((1 << 40) - 1))
     begin = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SNIPPET + 1)).cast("int") + 1
-    drawn = rows.where(draw / float(1 << 40) < share).select("lang", draw.alias("draw"), F.substr("text", begin, F.lit(SNIPPET)).alias("s"))
-    sample = sorted((r.lang, r.draw, r.s) for r in drawn.collect())
+    snippet = F.substr("text", begin, F.lit(SNIPPET)).alias("s")
+    drawn = rows.where(draw / float(1 << 40) < share).select("lang", "h", draw.alias("draw"), snippet).groupBy("lang", "h", "draw").agg(F.min("s").alias("s"))
+    every = sorted((r.lang, r.draw, r.s) for r in drawn.collect())
+    sample = [x for _, own in groupby(every, key=lambda x: x[0]) for x in islice(own, PER_LANGUAGE)]
     missing = [name for name in many if name not in {x[0] for x in sample}]
     for name in missing:  # so rare that the draw missed it
-        sample += [(name, 0, r.s) for r in rows.where(F.col("lang") == name).select(F.substr("text", begin, F.lit(SNIPPET)).alias("s")).limit(PER_LANGUAGE).collect()]
+        sample += [(name, 0, r.s) for r in rows.where(F.col("lang") == name).select("h", snippet).dropDuplicates(["h"]).limit(PER_LANGUAGE).collect()]
     return train([s.encode() for _, _, s in sample], [name for name, _, _ in sample])
 
 
