@@ -2,14 +2,21 @@
 
 A text breaks exactly at ASCII white space, so its runs between white space are encoded
 one by one, each distinct run once while it stays in a task's cache. A run too long for a
-leaf is halved; the halves are encoded, and a window around the join is re-encoded, and
+leaf is first brought to what the model sees: control tokens are taken out, what lies between
+them is normalised as a whole (marks are put in order and composed over any distance) and
+split into pieces, which the model encodes independently of each other. A piece too long for
+a leaf is halved; the halves are encoded, and a window around the join is re-encoded, and
 grown, until on both sides a few tokens (ids and places) are those of the halves. Any two
-neighbours of the result are then neighbours of some true encoding, which makes the whole
-the encoding of the whole. Texts longer than a part are cut into parts that different
-tasks encode; where a part had to be cut inside a run, the same join mends it.
+neighbours of the result are then neighbours of some true encoding of the piece's characters
+by merges alone, which makes the whole the encoding of the whole. Texts longer than a part
+are cut into parts that different tasks encode: at white space, or, where a run fills a
+part, between and inside its pieces; where a piece is cut, the same join mends it.
 
 Nulls: a null text is the empty text, which has no tokens. Rows that are wholly equal give
-equal rows. The tokenizer must drop white space and know no token that contains any.
+equal rows. Other columns than doc_id and text are not looked at, whatever their names. One
+task holds the whole of a text when it is cut, and the whole of its encoding when the parts
+meet. The tokenizer must drop white space and know no token that contains any, and its control
+tokens must be matched as written; others are refused.
 """
 
 from __future__ import annotations
@@ -26,11 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.shared import trimmed
+
 #: Characters of a run that are encoded at once, and of a text that one task encodes.
 LEAF, PART = 4096, 32_768
-#: Distinct runs that a task remembers.
-CACHE = 250_000
+#: Bytes of distinct runs and pieces, with their encodings, that a task remembers.
+CACHE_BYTES = 24 << 20
 AGREE = 3
+#: Characters that are split into pieces at a time, and pieces at their end that may yet go on.
+CHUNK, UNSURE = 1 << 16, 4
+#: The character that stands for control token 0 among a run's pieces; byte-level names lie below.
+CONTROL = 0xF0000
 SPACE = " \t\n\r\x0b\x0c"
 
 Token = tuple[int, int, int]  # id, first and last character
@@ -48,12 +61,65 @@ def tokenizer(path: str):
     return t
 
 
-def leaf(path: str) -> Callable[[str], list[Token]]:
-    def encode(text: str) -> list[Token]:
-        e = tokenizer(path).encode(text, add_special_tokens=False)
+class Leaf:
+    """A tokenizer's steps one by one: the pieces of a text, and the tokens of a piece."""
+
+    def __init__(self, path: str):
+        self.path = path
+        spec = json.loads(tokenizer(path).to_str())
+        odd = [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or CONTROL + t["id"] > 0x10FFFF]
+        if odd:
+            raise ValueError(f"control tokens that depend on what stands around them: {odd}")
+        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.control = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.controls = re.compile("|".join(map(re.escape, sorted(self.control, key=len, reverse=True))) or r"(?!)")
+
+    def __call__(self, text: str) -> list[Token]:
+        """The library's tokens of a text, with places in it."""
+        e = tokenizer(self.path).encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
-    return encode
+    def pieces(self, text: str) -> Iterator[str]:
+        """What the model encodes, in order; a control token is one character from CONTROL on."""
+        at = 0
+        for m in self.controls.finditer(text):
+            yield from self._split(text[at : m.start()])
+            yield chr(CONTROL + self.control[m[0]])
+            at = m.end()
+        yield from self._split(text[at:])
+
+    def _split(self, text: str) -> Iterator[str]:
+        t = tokenizer(self.path)
+        if t.normalizer:
+            text = t.normalizer.normalize_str(text)
+        at, size = 0, CHUNK
+        while at < len(text):
+            found = t.pre_tokenizer.pre_tokenize_str(text[at : at + size])
+            if at + size >= len(text):
+                yield from (p for p, _ in found)
+                return
+            if len(found) <= UNSURE:
+                size *= 2
+                continue
+            yield from (p for p, _ in found[:-UNSURE])
+            at, size = at + found[-UNSURE][1][0], CHUNK
+
+    def piece(self, text: str) -> list[Token]:
+        """The model's tokens of a piece, or of some characters in a row of one."""
+        if CONTROL <= ord(text[0]):
+            return [(ord(text) - CONTROL, 0, 1)]
+        out, at = [], 0
+        tokens = tokenizer(self.path).model.tokenize(text)
+        for k, t in enumerate(tokens):
+            n = len(t.value) - (len(self.suffix) if k == len(tokens) - 1 else 0)
+            out.append((t.id, at, at + n))
+            at += n
+        return out
+
+
+@lru_cache(2)
+def leaf(path: str) -> Leaf:
+    return Leaf(path)
 
 
 def _common(a: list[Token], b: list[Token], last: bool) -> tuple[int, int] | None:
@@ -86,13 +152,22 @@ def join(encode: Callable[[str], list[Token]], left: str, a: list[Token], right:
         k *= 2
 
 
-def tree(encode: Callable[[str], list[Token]], text: str, size: int = LEAF) -> list[Token]:
-    """The tokens of a text by halves."""
-    if len(text) <= size:
-        return encode(text)
-    half = len(text) // 2
-    left, right = text[:half], text[half:]
-    return join(encode, left, tree(encode, left, size), right, tree(encode, right, size))
+def halves(encode: Callable[[str], list[Token]], piece: str, size: int = LEAF) -> list[Token]:
+    """The tokens of an unsplit piece by halves."""
+    if len(piece) <= size:
+        return encode(piece)
+    half = len(piece) // 2
+    left, right = piece[:half], piece[half:]
+    return join(encode, left, halves(encode, left, size), right, halves(encode, right, size))
+
+
+def tree(encode: Leaf, text: str, size: int = LEAF) -> list[Token]:
+    """The tokens of a text, its long pieces by halves; places count through the pieces."""
+    out, at = [], 0
+    for p in encode.pieces(text):
+        out += [(i, a + at, b + at) for i, a, b in halves(encode.piece, p, size)]
+        at += len(p)
+    return out
 
 
 #: Runs of these characters alone are split here, as the tokenizer's pattern does; NFC leaves them as they are.
@@ -112,7 +187,7 @@ class Runs:
     """Encodes texts run by run; the cache holds each run's ids as text, their number and its decoding."""
 
     def __init__(self, path: str):
-        self.path, self.encode, self.known, self.pieces, self.names = path, leaf(path), {}, {}, byte_names()
+        self.path, self.encode, self.known, self.pieces, self.names, self.held = path, leaf(path), {}, {}, byte_names(), 0
         t = json.loads(tokenizer(path).to_str())
         #: whether runs of plain characters may be split here; a file of another kind is left to the library
         kinds = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
@@ -129,15 +204,21 @@ class Runs:
         ids = self.pieces.get(text)
         if ids is None:
             named = "".join([self.names[x] for x in text.encode()])
-            ids = self.pieces[text] = [t.id for t in tokenizer(self.path).model.tokenize(named)]
+            ids = [t.id for t in tokenizer(self.path).model.tokenize(named)]
+            if len(text) < LEAF:
+                self.pieces[text] = ids
+                self.held += 250 + len(text) + 40 * len(ids)
         return ids
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.pieces.clear()
+        self.held = 0
+
     def learn(self, runs: list[bytes]) -> None:
+        if self.held > CACHE_BYTES:
+            self.forget()
         new = list({r for r in runs if r not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            self.pieces.clear()
-            new = list(set(runs))
         texts = [r.decode() for r in new]
         ids: dict[str, list[int]] = {}
         for r in texts:
@@ -149,7 +230,8 @@ class Runs:
         ids.update((r, e.ids) for r, e in zip(rest, tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False), strict=True))
         for r, text in zip(new, texts, strict=True):
             own = ids[text]
-            self.known[r] = (" ".join(map(str, own)), len(own), self.decode(own))
+            self.known[r] = found = (" ".join(map(str, own)), len(own), self.decode(own))
+            self.held += 400 + len(r) + len(found[0]) + len(found[2])
 
     def text(self, text: str) -> tuple[str, int, str]:
         """The ids as decimal text, their number, and the decoding."""
@@ -198,6 +280,7 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _short(path: str, finish: Finish):
+    @trimmed(lambda: runs_of(path).forget())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = runs_of(path)
         for b in batches:
@@ -210,7 +293,7 @@ def _short(path: str, finish: Finish):
     return run
 
 
-PARTS = "doc_id long, tag long, key long, copies long, part int, hard boolean, open boolean, text string"
+PARTS = "doc_id long, tag long, key long, copies long, part int, pieces boolean, hard boolean, open boolean, text string"
 
 
 def parts(text: str, size: int = PART) -> list[tuple[bool, bool, str]]:
@@ -224,11 +307,25 @@ def parts(text: str, size: int = PART) -> list[tuple[bool, bool, str]]:
     return [*out, (hard, False, text[at:])]
 
 
-def _cut(size: int):
+def divided(encode: Leaf, text: str, size: int = PART) -> Iterator[tuple[bool, bool, bool, str]]:
+    """The parts of a text: (whether it is pieces with blanks between, begins and ends inside a piece; text)."""
+    at = 0
+    for m in re.finditer(rf"[^{SPACE}]{{{max(1, size - 1)},}}", text):  # such a run might fill a part
+        if m.start() > at:
+            yield from ((False, *p) for p in parts(text[at : m.start()], size))
+        yield from ((True, *p) for p in parts(" ".join(encode.pieces(m[0])), size))
+        at = m.end()
+    if at < len(text):
+        yield from ((False, *p) for p in parts(text[at:], size))
+
+
+def _cut(path: str, size: int):
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for *head, text in zip(*(b[c].to_pylist() for c in ("doc_id", "tag", "key", "copies", "text")), strict=True):
-                yield _batch(PARTS, [(*head, n, *p) for n, p in enumerate(parts(text, size))])
+                for n, p in enumerate(divided(leaf(path), text, size)):
+                    yield _batch(PARTS, [(*head, n, *p)])
 
     return run
 
@@ -240,8 +337,9 @@ _EDGE = re.compile(rf"[^{SPACE}]+")
 
 def _encode_parts(path: str):
     def packed(text: str) -> bytes:
-        return np.array(tree(leaf(path), text), dtype=np.int32).tobytes()
+        return np.array(halves(leaf(path).piece, text) if text else [], dtype=np.int32).tobytes()
 
+    @trimmed(lambda: runs_of(path).forget())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = runs_of(path)
         for b in batches:
@@ -249,16 +347,21 @@ def _encode_parts(path: str):
                 text, head, tail = row["text"], "", ""
                 if row["hard"] and (m := _EDGE.match(text)):
                     head, text = m[0], text[m.end() :]
-                if row["open"] and (m := re.search(rf"[^{SPACE}]+\Z", text)):
-                    tail, text = m[0], text[: m.start()]
-                ids, n, decoded = runs.text(text)
+                if row["open"]:
+                    at = max(text.rfind(c) for c in SPACE) + 1
+                    tail, text = text[at:], text[:at]
+                if row["pieces"]:
+                    own = [i for p in _EDGE.findall(text) for i, _, _ in halves(leaf(path).piece, p)]
+                    ids, n, decoded = " ".join(map(str, own)), len(own), runs.decode(own)
+                else:
+                    ids, n, decoded = runs.text(text)
                 yield _batch(ENCODED, [(*(row[c] for c in ("doc_id", "tag", "key", "copies", "part", "hard", "open")), head, packed(head), ids, decoded, n, tail, packed(tail))])
 
     return run
 
 
 def _concat(encode, pieces: list[tuple[str, list[Token]]]) -> list[Token]:
-    """The tokens of a run from its pieces', joined as a tree."""
+    """The tokens of a piece from its parts', joined as a tree."""
     while len(pieces) > 1:
         paired = [(l + r, join(encode, l, a, r, b)) for (l, a), (r, b) in zip(pieces[::2], pieces[1::2], strict=False)]
         pieces = paired + pieces[len(paired) * 2 :]
@@ -277,13 +380,14 @@ def _join_parts(path: str, finish: Finish):
             if row["hard"]:
                 held.append(unpacked(row["head"], row["head_tokens"]))
             if not through:
-                own = [i for i, _, _ in _concat(leaf(path), held)]
+                own = [i for i, _, _ in _concat(leaf(path).piece, held)]
                 found += [(" ".join(map(str, own)), len(own), runs_of(path).decode(own)), (row["ids"], row["n"], row["decoded"])]
                 held = [unpacked(row["tail"], row["tail_tokens"])] if row["open"] else []
         found = [x for x in found if x[1]]
         row = finish[1](" ".join([x[0] for x in found]), sum(x[1] for x in found), " ".join([x[2] for x in found]))
         return _batch(f"doc_id long, tag long, copies long, {finish[0]}", [(rows[0]["doc_id"], rows[0]["tag"], rows[0]["copies"], *row)])
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for b in batches:
@@ -309,7 +413,7 @@ def encode(docs: DataFrame, path: str, finish: Finish = WHOLE, part: int = PART,
     result = f"doc_id long, tag long, {finish[0]}"
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= part).mapInArrow(_short(path, finish), result)
     long = rows.where(F.length("text") > part).groupBy("doc_id", "tag", "text").agg(F.count(F.lit(1)).alias("copies"))
-    cut = long.select("doc_id", "tag", F.xxhash64("doc_id", "tag", "text").alias("key"), "copies", "text").mapInArrow(_cut(part), PARTS)
+    cut = long.select("doc_id", "tag", F.xxhash64("doc_id", "tag", "text").alias("key"), "copies", "text").mapInArrow(_cut(path, part), PARTS)
     spread = cut.repartition("key", "part").mapInArrow(_encode_parts(path), ENCODED)
     joined = spread.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "part").mapInArrow(_join_parts(path, finish), result.replace("tag long", "tag long, copies long"))
     again = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copy", "copies")

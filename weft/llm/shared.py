@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,29 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trimmed(forget: Callable[[], object] = lambda: None):
+    """For what runs on batches: when a task ends, ``forget`` runs, and the worker's freed memory goes back.
+
+    Workers are used again by later stages; what one keeps, all of them would pay for.
+    """
+
+    def wrap(run):
+        @functools.wraps(run)
+        def task(batches: Iterator) -> Iterator:
+            try:
+                yield from run(batches)
+            finally:
+                forget()
+                try:
+                    ctypes.CDLL(None).malloc_trim(0)
+                except (AttributeError, OSError):  # another C library has no such call
+                    pass
+
+        return task
+
+    return wrap
+
+
 def interval(value: Column, splitters: Sequence, one: Column | None = None) -> Column:
     """The number of sorted splitters that are <= value, by binary search inside the expression.
 
