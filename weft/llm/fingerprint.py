@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import cut, interval, release
+from weft.llm.shared import cut, interval, release, trimmed
 
 #: Texts of one bucket of the document order; more buckets only cost a little bookkeeping.
 BUCKET_BYTES, MIN_BUCKETS, MAX_BUCKETS = 8 << 20, 64, 16_384
@@ -48,6 +48,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+@trimmed()
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(3)
     for b in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
@@ -58,6 +59,7 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ROWS = "doc_id long, n_chars long, edited_sha256 binary, h binary, eh binary, wide binary, edited_wide binary, near_edited double, near_next double"
 
 
+@trimmed()
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the one after it in its bucket; ghosts only end a bucket."""
     unpack = zstandard.ZstdDecompressor()
@@ -80,6 +82,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+@trimmed()
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document's hash and compressed canonical form; a task sends a repeated form once."""
     pack, seen = zstandard.ZstdCompressor(3), set()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.shared import LOWER, cut, drop, release
+from weft.llm.shared import LOWER, cut, drop, release, trimmed
 
 WORDS = 5
 #: Counters of the sketch of frequencies, and slots of the filter of wanted classes: fixed sizes, in slices.
@@ -56,7 +56,7 @@ class Words(dict):
     """Hashes of words, remembered while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -127,6 +127,7 @@ SURVEY = "doc_id long, h long, n int, cls long, s array<long>, slice int, counts
 _KINDS = [("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("s", pa.list_(pa.int64())), ("slice", pa.int32()), ("counts", pa.binary())]
 
 
+@trimmed(lambda: _words.clear())
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document, and at the end of a partition its counts of shingles."""
     counts, schema = np.zeros(SLOTS, dtype=np.uint32), pa.schema(_KINDS)
@@ -173,6 +174,7 @@ def _gather(slices: DataFrame, kind: str, finish: str, width: int) -> np.ndarray
 
 
 def _emit_keys(rarity):
+    @trimmed(lambda: _words.clear())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(rarity.value, dtype=np.uint8), set()
         for b in _steps(batches):
@@ -191,6 +193,7 @@ def _emit_keys(rarity):
     return run
 
 
+@trimmed()
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, low, cls): the classes of a key beside its smallest. A task's keys are sorted at once, 16 bytes a row."""
     parts = [(b["key"].to_numpy(), b["cls"].to_numpy()) for b in batches]
@@ -208,6 +211,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(low[at]), pa.array(cls[at])], ["key", "low", "cls"])
 
 
+@trimmed()
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = np.zeros(WANTED, dtype=np.uint8)
     for b in batches:
@@ -219,6 +223,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_sets(wanted):
     """The sets of texts whose hash is marked; the others are not even looked at."""
 
+    @trimmed(lambda: _words.clear())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, seen = np.unpackbits(np.frombuffer(wanted.value, dtype=np.uint8)).astype(bool), set()
         for b in batches:
@@ -239,6 +244,7 @@ def _emit_sets(wanted):
     return run
 
 
+@trimmed()
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the members that resemble their star's centre; the centre's set comes first."""
     star, centre, last = None, None, None
@@ -348,14 +354,15 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     Of a group the row of the smallest doc_id stays, of its rows the one whose text has the
     smallest hash; a null doc_id comes last. Groups are told apart by their sets of shingles,
     so unlike documents stay also where their doc_ids are null or equal. A document without
-    words is in no group and always stays.
+    words is in no group and always stays. Columns may have any names.
     """
-    docs = documents.withColumn("_h", F.xxhash64("text")).withColumn("_i", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    none = F.lit(-(2**63))
+    docs = documents.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"), F.coalesce(F.col("doc_id").cast("long"), none).alias("i"))
     found = cut(similar(documents), "similar")
     release(documents.sparkSession)
     grouped = found.where("n_shingles > 0")
     stay = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "h")).alias("top")).select("top.*")
-    stay = stay.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_i"), F.col("h").alias("_h"))
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = docs.where(worded).join(stay.distinct(), ["_i", "_h"], "left_semi").dropDuplicates(["_i", "_h"])
-    return kept.unionByName(docs.where(~worded)).select(*documents.columns)
+    stay = stay.select(F.coalesce("doc_id", none).alias("i"), "h")
+    worded = F.coalesce(F.col("row.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = docs.where(worded).join(stay.distinct(), ["i", "h"], "left_semi").dropDuplicates(["i", "h"])
+    return kept.select("row.*").unionAll(docs.where(~worded).select("row.*"))

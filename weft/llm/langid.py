@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weft.llm.shared import named, trimmed
+
 #: The bound on training: documents of a language, and characters of each.
 PER_LANGUAGE, SNIPPET = 400, 320
 HIDDEN, STEPS, BATCH, SPAN, RATE = 8, 260, 64, 80, 0.02
@@ -211,6 +213,7 @@ def fit(docs: DataFrame, allowed: Column) -> Network:
 
 
 def _label(net: Network, names: list[str], results: tuple[str, str]):
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             lang, score = predict(net, b["text"].to_pylist())
@@ -220,12 +223,19 @@ def _label(net: Network, names: list[str], results: tuple[str, str]):
 
 
 def identify(docs: DataFrame, net: Network, keep: list[str], results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep`` and the language and score under the names ``results``. Only the text is looked at."""
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = rows.select(*keep, F.lit("").alias(results[0]), F.lit(0.0).alias(results[1])).schema
+    """The columns ``keep`` and the language and score under the names ``results``. Only the text is looked at.
+
+    A kept column that has one of those names gives way to the result.
+    """
+    keep = [c for c in keep if c.lower() not in {r.lower() for r in results}]
+    # plain names on the way, as mapInArrow takes no others
+    plain = ["text" if c == "text" else f"c{k}" for k, c in enumerate(keep)]
+    rows = docs.select(*(named(c).alias(p) for p, c in zip(plain, keep, strict=True)), *(["text"] if "text" not in keep else []))
+    schema = rows.select(*plain, F.lit("").alias("lang"), F.lit(0.0).alias("score")).schema
     for f in schema.fields:
         f.nullable = True
-    return rows.mapInArrow(_label(net, keep, results), schema)
+    out = rows.mapInArrow(_label(net, plain, ("lang", "score")), schema)
+    return out.select(*(F.col(p).alias(c) for p, c in zip([*plain, "lang", "score"], [*keep, *results], strict=True)))
 
 
 def held_out(parts: int = 4, part: int = 2) -> Column:

@@ -19,7 +19,8 @@ nothing else; a caller can ask by ``mostly`` that a document of which a larger s
 is left whole, which too is the default of ``repeats`` but neither of the query nor the pipeline.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes first. Rows that are
-wholly equal share one decision, so both keep what either keeps.
+wholly equal share one decision, so both keep what either keeps. Other columns may have any
+names and stay as they are.
 """
 
 from __future__ import annotations
@@ -221,13 +222,19 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
 
     Where n_chars is a column it is made to fit the new text.
     """
-    changed = repeats(docs, **how).where(F.size("removed") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "removed")
+    changed = repeats(docs, **how).where(F.size("removed") > 0).select("doc_id", "h", "removed")
     release(docs.sparkSession)
-    own = docs.withColumn("_k", F.xxhash64("text"))
-    rows = own.join(changed, (own["_k"] == changed["_h"]) & own["doc_id"].cast("long").eqNullSafe(changed["_id"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)
-    out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    # columns of any names travel as one struct
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("k"))
+    rows = own.join(changed, (F.col("k") == changed["h"]) & F.col("i").eqNullSafe(changed["doc_id"]), "left").select("row", "removed")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
+    out = []
+    for f in docs.schema.fields:
+        was = F.col("row").getField(f.name)
+        if f.name == "text":
+            was = text
+        elif f.name == "n_chars":
+            was = F.when(F.col("removed").isNull(), was).otherwise(F.length(kept).cast(f.dataType))
+        out.append(was.alias(f.name))
+    return rows.select(*out)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.eliasfano import Trie, quantise
-from weft.llm.shared import LOWER, cut, drop, release, text_bytes
+from weft.llm.shared import LOWER, cut, drop, release, text_bytes, trimmed
 
 MU = 16.0
 #: Words of an n-gram, the scored word among them.
@@ -65,6 +65,7 @@ class _Numbers(dict):
         return n
 
 
+@trimmed()
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents as numbers of the block's own words, in order of their first use."""
 
@@ -105,6 +106,7 @@ def _by_shard(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
 def _ask_words(shards: int):
     """A block's words and training counts, to the shards of the words."""
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, words, counts in zip(*(b[c].to_pylist() for c in ("block", "words", "counts")), strict=True):
@@ -135,6 +137,7 @@ def _rows_by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[obje
 def _answer_words(shards: int):
     """Numbers and counts of a shard's words, to every block that asked; and the shard's N and V."""
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _rows_by(batches, "shard"):
             asked = [_un(r["words"], np.uint64) for r in rows]
@@ -238,6 +241,7 @@ def _ask_pairs(shards: int, n: int, v: int, order: int, last: bool):
                 column.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROUTED, strict=True)], schema=_ROUTED)
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _rows_by(batches, "block"):
             (block,) = (r for r in rows if r["tokens"] is not None)
@@ -291,6 +295,7 @@ def _answer_pairs(n: int, v: int, order: int, last: bool):
             begin += len(own)
             yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([_z(docs)], pa.binary()), pa.array([_z(sums.astype(np.float32))], pa.binary())], ["block", "doc_id", "rows", "docs", "sums"])
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for route, rows in _rows_by(batches, "route"):
             if route >= 0:
@@ -305,6 +310,7 @@ def _answer_pairs(n: int, v: int, order: int, last: bool):
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
+@trimmed()
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's documents with the sums from all shards."""
     for _, rows in _rows_by(batches, "block"):

@@ -9,7 +9,9 @@ any slot each source that lasts has had its share to within less than one block.
 A source that has run out leaves its slots empty; every document is placed exactly once.
 
 Nulls: a null source is the source named ``''``; a null doc_id is ordered first in its
-source. Rows that are wholly equal take neighbouring places.
+source. Rows that are wholly equal take neighbouring places. Documents may have columns of
+any names: they travel as one struct. Only ``mix`` gives its five columns beside them, in
+place of any that have those names.
 """
 
 from __future__ import annotations
@@ -62,41 +64,54 @@ def root_weights(docs: DataFrame) -> dict[str, int]:
     return {r.source: r.w for r in counts.collect()}
 
 
+PLACE = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place")
+
+
 def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """The documents with mix_block, mix_release, mix_deadline, mix_slot and mix_place.
+    """The documents with mix_block, mix_release, mix_deadline, mix_slot and mix_place."""
+    own = [F.col("row").getField(f.name).alias(f.name) for f in docs.schema.fields if f.name.lower() not in PLACE]
+    return placed(docs, weights, block, period).select(*own, *PLACE)
+
+
+def placed(docs: DataFrame, weights: Mapping[str, int] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """(row, a struct of the document's columns; mix_block, mix_release, mix_deadline, mix_slot, mix_place).
 
     mix_place is unique and orders the mix. Inside a source the order is by the MD5 of the
     doc_id. A source's numbering is dealt out by the first digits of that digest, and a
-    prefix sum over their counts joins the parts, so a hot source is no single task.
+    prefix sum over their counts joins the parts, so a hot source is no single task; rows
+    without a doc_id are dealt out by their text's.
     Sources without a weight get one block a period.
     """
     have = {f.name for f in docs.schema.fields}
     if "source" not in have or "doc_id" not in have:
         raise ValueError("documents need doc_id and source")
     given = dict(weights if weights is not None else root_weights(docs))
-    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n")).collect()
+    name = F.coalesce("source", F.lit(""))
+    counts = docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
     n_rows = sum(r.n for r in counts)
-    blocks = quotas({r.source: given.get(r.source, 0) for r in counts}, period) if n_rows and any(given.get(r.source) for r in counts) else {r.source: 1 for r in counts}
+    blocks = quotas({r.s: given.get(r.s, 0) for r in counts}, period) if n_rows and any(given.get(r.s) for r in counts) else {r.s: 1 for r in counts}
     length = sum(blocks.values())
     spark = docs.sparkSession
     digits = 1 if n_rows < 2_000 else 2 if n_rows < 200_000 else 3 if n_rows < 40_000_000 else 4
 
-    name, order = F.coalesce("source", F.lit("")), F.md5(F.col("doc_id").cast("string"))
-    own = docs.withColumn("_s", name).withColumn("_o", F.coalesce(order, F.lit(""))).withColumn("_c", F.substring("_o", 1, digits))
-    part = W.partitionBy("_s", "_c").orderBy("_o", "doc_id", *(["text"] if "text" in have else []))
-    own = own.withColumn("_n", F.row_number().over(part).cast("long") - 1)
-    sums = docs.select(name.alias("_s"), F.substring(F.coalesce(order, F.lit("")), 1, digits).alias("_c")).groupBy("_s", "_c").agg(F.count(F.lit(1)).alias("_k"))
-    before = sums.select("_s", "_c", (F.sum("_k").over(W.partitionBy("_s").orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("_k")).alias("_b"))
-    own = own.join(before, ["_s", "_c"]).withColumn("_n", F.col("_n") + F.col("_b"))
-    per = spark.createDataFrame(sorted(blocks.items()), "_s string, _q long")
-    own = own.join(F.broadcast(per), "_s")  # a row per source
-    own = own.withColumn("mix_block", F.expr(f"_n div {block}")).withColumn("_j", F.col("mix_block") % F.col("_q")).withColumn("_r", F.expr("mix_block div _q") * F.lit(length))
-    slots = spark.createDataFrame(schedule(blocks), "_s string, _j long, _release long, _due long, _slot long")
-    own = own.join(F.broadcast(slots), ["_s", "_j"])  # the rows of one period
+    # rows without a doc_id come first, by the digest of their text
+    unnamed = F.concat(F.lit(" "), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))) if "text" in have else F.lit("")
+    order = F.coalesce(F.md5(F.col("doc_id").cast("string")), unnamed)
+    cell = F.substring(order, 1, F.when(F.col("doc_id").isNull(), digits + 1).otherwise(digits))
+    own = docs.select(F.struct("*").alias("row"), name.alias("s"), order.alias("o"), cell.alias("c"))
+    part = W.partitionBy("s", "c").orderBy("o", "row.doc_id", *(["row.text"] if "text" in have else []))
+    own = own.withColumn("n", F.row_number().over(part).cast("long") - 1)
+    sums = docs.select(name.alias("s"), cell.alias("c")).groupBy("s", "c").agg(F.count(F.lit(1)).alias("k"))
+    before = sums.select("s", "c", (F.sum("k").over(W.partitionBy("s").orderBy("c").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")).alias("b"))
+    own = own.join(before, ["s", "c"]).withColumn("n", F.col("n") + F.col("b"))
+    per = spark.createDataFrame(sorted(blocks.items()), "s string, q long")
+    own = own.join(F.broadcast(per), "s")  # a row per source
+    own = own.withColumn("mix_block", F.expr(f"n div {block}")).withColumn("j", F.col("mix_block") % F.col("q")).withColumn("r", F.expr("mix_block div q") * F.lit(length))
+    slots = spark.createDataFrame(schedule(blocks), "s string, j long, release long, due long, slot long")
+    own = own.join(F.broadcast(slots), ["s", "j"])  # the rows of one period
     return own.select(
-        *[docs[c] for c in docs.columns],
-        "mix_block", (F.col("_r") + F.col("_release")).alias("mix_release"), (F.col("_r") + F.col("_due")).alias("mix_deadline"), (F.col("_r") + F.col("_slot")).alias("mix_slot"),
-        ((F.col("_r") + F.col("_slot")) * block + F.col("_n") % block).alias("mix_place"),
+        "row", "mix_block", (F.col("r") + F.col("release")).alias("mix_release"), (F.col("r") + F.col("due")).alias("mix_deadline"), (F.col("r") + F.col("slot")).alias("mix_slot"),
+        ((F.col("r") + F.col("slot")) * block + F.col("n") % block).alias("mix_place"),
     )
 
 

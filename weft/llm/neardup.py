@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.shared import cut, drop
+from weft.llm.shared import cut, drop, trimmed
 
 THRESHOLD, RECALL = 0.9, 0.995
 #: Vectors that a bucket should hold, and that a block holds at most.
@@ -43,6 +43,7 @@ def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple
 def _codes(bits: int, tables: int):
     planes: dict[int, np.ndarray] = {}
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = (1 << np.arange(bits)).astype(np.int64)
         for b in batches:
@@ -98,6 +99,7 @@ def _pairs(threshold: float):
             return None
         return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(count[some]), pa.array(rep[label[some]])], ["rep", "n", "low"])
 
+    @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
         for b in batches:

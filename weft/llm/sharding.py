@@ -111,8 +111,12 @@ def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """The documents in folders shard=0.. of a table, each folder's files in order of slot."""
-    keyed = docs.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    placed = assign(docs, shards).select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), "shard", "slot").dropDuplicates(["_id", "_c"])
-    out = keyed.join(placed, keyed.doc_id.eqNullSafe(placed._id) & (keyed._crc == placed._c)).drop("_id", "_c", "_crc")
+    """The documents in folders shard=0.. of a table, each folder's files in order of slot.
+
+    A column named shard or slot gives way to the record's; others may have any names.
+    """
+    own = [F.col("row").getField(f.name).alias(f.name) for f in docs.schema.fields if f.name.lower() not in ("shard", "slot")]
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"))
+    placed = assign(docs, shards).select(F.col("doc_id").alias("id"), "text_crc32", "shard", "slot").dropDuplicates(["id", "text_crc32"])
+    out = keyed.join(placed, keyed.i.eqNullSafe(placed.id) & (keyed.c == placed.text_crc32)).select(*own, "shard", "slot")
     out.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

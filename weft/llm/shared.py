@@ -60,6 +60,22 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(names: Sequence[str], *wanted: str) -> list[str]:
+    """Column names like those wanted that none of ``names`` is, in whatever case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def trimmed(forget: Callable[[], object] = lambda: None):
     """For what runs on batches: when a task ends, ``forget`` runs, and the worker's freed memory goes back.
 
