@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weft.llm import bpe, jaccard, langid, lines, mixing
 from weft.llm.queries import vocabulary
-from weft.llm.shared import cut, drop
+from weft.llm.shared import cut, drop, unused
 
 #: A text goes if it has no letter, or if no language's pooled probability reaches this.
 CONFIDENT = 0.3
@@ -22,8 +22,9 @@ CONFIDENT = 0.3
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt; a missing label is filled with the prediction."""
     net = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
-    named = langid.identify(docs, net, docs.columns, ("_lang", "_score")).where((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= CONFIDENT))
-    return named.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+    lang, score = unused(docs.columns, "lang_pred", "score")
+    named = langid.identify(docs, net, docs.columns, (lang, score)).where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= CONFIDENT))
+    return named.withColumn("lang", F.coalesce("lang", lang)).drop(lang, score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +39,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix, which the files keep: part by part, row by row."""
-    return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
+    return mixing.in_order(mixing.placed(docs)).select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, mix_place, n_tokens, ids, decoded_sha256; mix_place is the row's place in the files it was read from."""
     try:
-        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
-        docs = docs.select("*", (F.when(part != "", part.cast("long")) * (1 << 40) + F.col("_metadata.row_index")).alias("_place"))
+        file = docs.metadataColumn("_metadata")
+        part = F.regexp_extract(file["file_name"], r"part-(\d+)", 1)
+        docs = docs.select("doc_id", "text", (F.when(part != "", part.cast("long")) * (1 << 40) + file["row_index"]).alias("place"))
     except AnalysisException:  # rows that come from no file have no place
-        docs = docs.withColumn("_place", F.lit(None).cast("long"))
-    return bpe.encode(docs, vocabulary(), bpe.TOKENS, tag=F.col("_place")).withColumnRenamed("tag", "mix_place")
+        docs = docs.select("doc_id", "text", F.lit(None).cast("long").alias("place"))
+    return bpe.encode(docs, vocabulary(), bpe.TOKENS, tag=F.col("place")).withColumnRenamed("tag", "mix_place")
 
 
 STAGES = [
