@@ -59,6 +59,12 @@ def test_odd_vectors(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (6, [1.0, 0.01, 0.0]), (5, [0.0, 0.0, 1.0]), (9, [0.0, 0.0, 1.0]), (9, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.01]), (8, [-1.0, 0.0, 0.0])]
+    got = neardup.near_duplicates(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), recall=0.999999).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(4, 1, 4, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (8, 0, 8, True), (9, 1, 4, False), (9, 1, 5, False)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (300, 200), (300, 400)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (None, 5), (7, None)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())

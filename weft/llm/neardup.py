@@ -11,7 +11,9 @@ from the number of vectors. Equal vectors are folded into one with a count befor
 
 Vectors that are null, zero or hold null or non-finite components link with nothing, nor do
 rows without a vec_id. Vectors of different lengths do not link. If a vec_id repeats, each
-row is a vector of its own with the same id, and all share a component.
+row is a vector of its own with its own links; a component is named by its smallest vec_id, so
+two of them may go by one name. Only vec_id and embedding are looked at, whatever other
+columns there are.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ SEED = 20_240_601
 
 def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """(signs of a code, tables) for n vectors."""
-    bits = min(24, max(3, math.ceil(math.log2(max(1, n / BUCKET)))))
+    bits = min(30, max(3, math.ceil(math.log2(max(1, n / BUCKET)))))
     hit = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -57,8 +59,8 @@ def _codes(bits: int, tables: int):
                 narrow = x.astype(np.float32)
                 stored = narrow if np.array_equal(narrow, x) else x  # single precision where that loses nothing
                 take = b.take(pa.array(at))
-                columns = [take["rep"], take["mult"], pa.array([dim] * len(at), pa.int32()), pa.array([r.tobytes() for r in stored], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, ["rep", "mult", "dim", "x", "codes"])
+                columns = [take["node"], take["mult"], pa.array([dim] * len(at), pa.int32()), pa.array([r.tobytes() for r in stored], pa.binary()), pa.array(codes.tolist(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "mult", "dim", "x", "codes"])
 
     return run
 
@@ -72,7 +74,7 @@ def _pairs(threshold: float):
         codes, table = np.array([r["codes"] for r in rows], dtype=np.int32), rows[0]["t"]
         mult, cell = np.array([r["mult"] for r in rows]), np.array([r["cell"] for r in rows])
         label, count = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int64)
-        rep = np.array([r["rep"] for r in rows])
+        node = np.array([r["node"] for r in rows])
         firsts, seconds = [], []
         for at in range(0, len(rows), 256):
             i, j = np.nonzero(x[at : at + 256] @ x.T >= threshold)
@@ -87,17 +89,17 @@ def _pairs(threshold: float):
         i, j = np.concatenate(firsts), np.concatenate(seconds)
         while len(i):
             before = label.copy()
-            low = np.where(rep[label[i]] <= rep[label[j]], label[i], label[j])
-            order = np.argsort(-rep[low], kind="stable")  # the smallest is written last
+            low = np.where(node[label[i]] <= node[label[j]], label[i], label[j])
+            order = np.argsort(-node[low], kind="stable")  # the smallest is written last
             for side in (i, j):
-                label[side[order]] = np.where(rep[low[order]] < rep[label[side[order]]], low[order], label[side[order]])
+                label[side[order]] = np.where(node[low[order]] < node[label[side[order]]], low[order], label[side[order]])
             label = label[label]
             if (before == label).all():
                 break
         some = np.nonzero((count > 0) | (label != np.arange(len(rows))))[0]
         if not len(some):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(count[some]), pa.array(rep[label[some]])], ["rep", "n", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(count[some]), pa.array(node[label[some]])], ["node", "n", "low"])
 
     @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,21 +124,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     sound = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
     keyed = rows.select("vec_id", F.when(sound, F.xxhash64("v")).alias("k1"), F.when(sound, F.xxhash64(F.lit(1), "v")).alias("k2"), F.when(sound, F.col("v")).alias("v"))
-    folded = cut(keyed.where(sound).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v")), "vectors")
+    # a node is a distinct vector, numbered once and for all by the written table
+    folded = keyed.where(sound).groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v"))
+    folded = cut(folded.withColumn("node", F.monotonically_increasing_id()), "vectors")
     bits, tables = shape(folded.count(), threshold, recall)
-    coded = cut(folded.select("rep", "mult", "v").mapInArrow(_codes(bits, tables), "rep long, mult long, dim int, x binary, codes array<int>"), "codes")
+    coded = cut(folded.select("node", "mult", "v").mapInArrow(_codes(bits, tables), "node long, mult long, dim int, x binary, codes array<int>"), "codes")
     spread = coded.select("*", F.posexplode("codes").alias("t", "code"))
     full = cut(spread.groupBy("t", "dim", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", "dim", "code", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("g")), "overfull")
     grid = spread.join(full, ["t", "dim", "code"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    grid = grid.withColumn("cell", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    grid = grid.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     grid = grid.withColumn("p", F.least("cell", "other")).withColumn("q", F.greatest("cell", "other")).drop("other", "g")
     key = ["t", "dim", "code", "p", "q"]
-    found = cut(grid.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pairs(threshold), "rep long, n long, low long"), "found")
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    groups = components(found.select("rep", "low")).select(F.col("node").alias("rep"), "component")
-    classes = cut(folded.select("k1", "k2", "rep", "mult").join(links, "rep", "left").join(groups, "rep", "left"), "classes")
+    found = cut(grid.repartition(*key).sortWithinPartitions(*key).mapInArrow(_pairs(threshold), "node long, n long, low long"), "found")
+    links = found.groupBy("node").agg(F.sum("n").alias("n"))
+    groups = components(found.select("node", "low"))
+    known = folded.select("k1", "k2", "node", "rep", "mult").join(links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = known.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = cut(known.join(smallest, "component").select("k1", "k2", "n", "mult", "component_id"), "classes")
     drop(folded, coded, full, found)
     out = keyed.drop("v").join(classes, ["k1", "k2"], "left")
-    component = F.coalesce("component", "rep", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     n = F.coalesce("n", F.lit(0)) + F.coalesce("mult", F.lit(1)) - 1
     return out.select("vec_id", n.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
