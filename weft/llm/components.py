@@ -12,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import cut, drop
+from weft.llm.shared import Tables
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -23,17 +23,20 @@ def _large(edges: DataFrame) -> DataFrame:
     return least, out.where("u != v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, cut) -> tuple[DataFrame, DataFrame]:
     least = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     others = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least, others.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component) of every node of the links (a, b); the component is its smallest node.
 
-    Links may repeat and point either way; self-links and links with a null say nothing.
+    Links may repeat and point either way; self-links and links with a null say nothing. The
+    table that the result reads is one of ``tables``, whose owner drops it.
     """
+    tables = tables or Tables()
+    cut = tables.cut
     a, b = F.col(links.columns[0]).cast("long"), F.col(links.columns[1]).cast("long")
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(a.isNotNull() & b.isNotNull() & (a != b)).distinct(), "edges")
     seen = None
@@ -43,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct())
         seen = state
         for star in (_large, _small):
-            least, new = star(edges)
+            least, new = star(edges, cut)
             new = cut(new, "edges")
-            drop(least, edges)
+            tables.drop(least, edges)
             edges = new

@@ -52,6 +52,32 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """The tables of an operator: at the end, or when it fails, all go but those that its result still reads."""
+
+    def __init__(self):
+        self.made: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        out = cut(df, name)
+        self.made.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        drop(*tables)
+        self.made = [t for t in self.made if all(t is not x for x in tables)]
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept += tables
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        drop(*(t for t in self.made if kind is not None or all(t is not x for x in self.kept)))
+
+
 def release(spark: SparkSession) -> None:
     """Lets the cleaner free shuffle files of finished steps now rather than at the next collection."""
     import gc
