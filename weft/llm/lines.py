@@ -8,9 +8,10 @@ parities of their character pairs, lose their common beginning and end, and what
 is left is compared by a banded bit-parallel edit distance: one 64-bit word holds a column
 of the band. All of it is DataFrame expressions.
 
-Equal lines are one from the start, by a 64-bit hash. The candidates of a key are first its
-smallest indexed line with each other line; where that leaves several components, all pairs
-across them are tried.
+Equal lines are one from the start, by a 64-bit hash. Keys are shuffled, texts are not: only the
+lines that meet another one under a key are fetched, through a filter of bits of bounded
+size. The candidates of a key are first its smallest indexed line with each other line; where
+that leaves several components, all pairs across them that pass the bounds are tried.
 
 Of a class of lines the first occurrence (by doc_id, text and line number) stays. Lines of at
 least MIN_LINE characters are compared with edits; with ``exact`` 1 all shorter ones that are
@@ -29,35 +30,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm.shared import cut, drop, release
+from weft.llm.shared import Tables, release
 
 EDITS, MIN_LINE, MOSTLY = 2, 24, 0.5
+#: Words of the filter of lines that are fetched, at least and at most.
+WORDS = (1 << 10, 1 << 20)
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(begin from 0, length) of segment i of a line: the later ones take what is over."""
-    size = F.floor(length / (edits + 1)).cast("int")
-    short = (edits + 1) - (length - size * (edits + 1))
-    return size * i + F.greatest(F.lit(0), F.lit(i) - short), size + (F.lit(i) >= short).cast("int")
+def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(d, i, move): a line looks, for lines shorter by d, for segment i of such a length, moved by so much.
+
+    Moves are at most the edits that can have happened before the segment and, seen from the
+    end, after it. The probes (0, i, 0) are a line's own segments, by which it is indexed.
+    """
+    return [(d, i, move) for d in range(edits + 1) for i in range(edits + 1) for move in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)]
 
 
-def entries(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """array<struct<key, indexed>>: a line's segments, and the substrings by which it probes.
+def keyed(lines: DataFrame, edits: int = EDITS, indexed: bool = False) -> DataFrame:
+    """(id, key, indexed) of every probe of the lines (id, line, n), or of their own segments alone.
 
-    A probe for a line shorter by d looks for segment i moved by at most the edits that can
-    have happened before it and, seen from the end, after it.
+    The probes are rows before anything is computed: a few expressions then serve them all.
     """
-    out = []
-    for d in range(edits + 1):
-        length = n - d
-        for i in range(edits + 1):
-            begin, size = _segment(length, i, edits)
-            for move in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                at = begin + move
-                key = F.xxhash64(F.lit(i), length, F.substr(line, at + 1, size))
-                fits = (at >= 0) & (at + size <= n) & (size > 0)
-                out.append(F.when(fits, F.struct(key.alias("key"), F.lit(d == 0 and move == 0).alias("indexed"))))
-    return F.array_compact(F.array(*out))
+    wanted = [p for p in probes(edits) if not indexed or (p[0], p[2]) == (0, 0)]
+    every = F.array(*[F.struct(*(F.lit(x).alias(c) for x, c in zip(p, ("d", "i", "move"), strict=True))) for p in wanted])
+    rows = lines.select("id", "line", "n", F.explode(every).alias("p")).select("id", "line", "n", (F.col("n") - F.col("p.d")).alias("length"), "p.*")
+    rows = rows.select("*", F.expr(f"int(length div {edits + 1})").alias("size"), F.expr(f"{edits + 1} - int(length % {edits + 1})").alias("short"))  # the later segments take what is over
+    rows = rows.select("*", F.expr("size * i + greatest(0, i - short) + move").alias("at"), F.expr("size + int(i >= short)").alias("own"))
+    rows = rows.where("at >= 0 AND at + own <= n AND own > 0")
+    return rows.select("id", F.xxhash64("i", "length", F.substr("line", F.col("at") + 1, F.col("own"))).alias("key"), F.expr("d = 0 AND move = 0").alias("indexed"))
 
 
 def bounded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -130,18 +130,15 @@ def near(a: Column, b: Column, edits: int = EDITS) -> Column:
     return _let(_let(_let(_let(both, cut_head), cut_tail), rest), lambda t: bounded_distance(t["a"], t["b"], edits)) <= edits
 
 
-def sketch(line: Column) -> Column:
-    """Parities of the pairs of neighbouring characters in 124 bits; an edit changes four of them at most."""
-
-    def flip(x: Column, s: Column, j: Column) -> Column:
-        one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-        at = F.pmod(F.xxhash64(F.get(x, j - 1), F.get(x, j)), F.lit(124)).cast("int")
-        return _let(at, lambda k: F.struct(
-            F.when(k < 62, s["p"].bitwiseXOR(one(F.least(k, F.lit(61))))).otherwise(s["p"]).alias("p"), F.when(k < 62, s["q"]).otherwise(s["q"].bitwiseXOR(one(F.greatest(k - 62, F.lit(0))))).alias("q")
-        ))
-
-    zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
-    return _let(F.split(line, ""), lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 1)), zero, lambda s, j: flip(x, s, j)))
+def sketched(lines: DataFrame) -> DataFrame:
+    """The lines (id, line, n) with ``sketch``: parities of their pairs of neighbouring characters in 124 bits; an edit changes four of them at most."""
+    letters = F.split("line", "")
+    pairs = lines.select("id", F.explode(F.arrays_zip(letters.alias("x"), F.slice(letters, F.lit(2), F.greatest(F.lit(1), F.col("n"))).alias("y"))).alias("c"))
+    at = F.pmod(F.xxhash64("c.x", "c.y"), F.lit(124)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % 62)
+    none = F.lit(0).cast("long")
+    sums = pairs.select("id", at.alias("at")).groupBy("id").agg(F.bit_xor(F.when(F.col("at") < 62, bit).otherwise(none)).alias("p"), F.bit_xor(F.when(F.col("at") < 62, none).otherwise(bit)).alias("q"))
+    return lines.join(sums, "id").select("id", "line", "n", F.struct("p", "q").alias("sketch"))
 
 
 def _possible(x: str, y: str, edits: int) -> Column:
@@ -150,45 +147,56 @@ def _possible(x: str, y: str, edits: int) -> Column:
     return (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (apart <= 4 * edits)
 
 
-def _verified(pairs: DataFrame, wanted: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, wanted: DataFrame, edits: int, tables: Tables) -> DataFrame:
     """The pairs (a, b) of line ids whose lines are within the edits; texts travel for pairs that pass the bounds."""
     small = wanted.select("id", "n", "sketch")
     maybe = pairs.join(small.alias("p"), F.col("a") == F.col("p.id")).join(small.alias("q"), (F.col("b") == F.col("q.id")) & _possible("p", "q", edits)).select("a", "b")
     one = maybe.join(wanted.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
     two = one.join(wanted.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return cut(two.where(near(F.col("x"), F.col("y"), edits)).select("a", "b"), "links")
+    return tables.cut(two.where(near(F.col("x"), F.col("y"), edits)).select("a", "b"), "links")
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+def _exploded(docs: DataFrame, *columns: Column) -> DataFrame:
+    rows = docs.select(*columns, F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return rows.withColumn("n", F.length("line")).withColumn("id", F.xxhash64("line"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE) -> DataFrame:
+def _fetched(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line, n) of the lines that have one of the ids, each once.
+
+    A filter of eight bits for each id, WORDS[1] words of 64 at most, spares the others the
+    shuffle; it is broadcast. Beyond that size it lets more through, which the join then drops.
+    """
+    words = min(WORDS[1], max(WORDS[0], 1 << (ids.count() // 8).bit_length()))
+    word, bit = F.pmod(F.shiftright("id", 6), F.lit(words)), F.col("id").bitwiseAND(F.lit(63).cast("long")).cast("int")
+    marks = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    passed = lines.withColumn("word", word).join(F.broadcast(marks), "word").where(F.getbit("marks", bit) == 1)
+    return passed.select("id", "line", "n").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, tables: Tables | None = None) -> DataFrame:
     """(id, component) of the lines that are near another line; a line of no class has no row."""
-    spark = docs.sparkSession
-    # the later steps read each distinct line a few times, none of them the documents again
-    lines = cut(_exploded(docs.select("doc_id", "text")).where(F.col("n") >= shortest).groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n")), "lines")
-    release(spark)
-    every = lines.select("id", F.explode(entries(F.col("line"), F.col("n"), edits)).alias("e")).select("id", "e.key", "e.indexed")
-    lowest = every.where("indexed").groupBy("key").agg(F.min("id").alias("low"))
-    met = cut(every.join(lowest, "key").where("id != low").select("key", "low", "id", "indexed"), "met")
-    release(spark)
-    wanted = lines.join(met.select(F.explode(F.array("low", "id")).alias("id")).distinct(), "id", "left_semi")
-    wanted = cut(wanted.select("id", "line", "n", sketch(F.col("line")).alias("sketch")), "wanted")
-    links = _verified(met.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), wanted, edits)
-    release(spark)
-    named = components(links)
+    tables = tables or Tables()
+    cut = tables.cut
+    lines = _exploded(docs).where(F.col("n") >= shortest).select("id", "line", "n")
+    lowest = keyed(lines, edits, True).groupBy("key").agg(F.min("id").alias("low"))
+    met = keyed(lines, edits).join(lowest, "key").where("id != low").select("key", "low", "id", "indexed")
+    met = cut(met.groupBy("key", "low", "id").agg(F.max("indexed").alias("indexed")), "met")
+    release(docs.sparkSession)
+    ids = cut(met.select(F.explode(F.array("low", "id")).alias("id")).distinct(), "ids")
+    fetched = cut(_fetched(lines, ids), "fetched")
+    wanted = cut(sketched(fetched), "wanted")
+    links = _verified(met.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), wanted, edits, tables)
+    named = components(links, tables)
     mine = met.where("indexed").select("key").distinct()
     members = met.join(mine, "key").join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = cut(members.join(wanted.select("id", "n", "sketch"), "id").select("key", "id", "indexed", "component", "n", "sketch"), "open")
     across = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & _possible("p", "q", edits)
     pair = open_.where("indexed").alias("p").join(open_.alias("q"), across)
     second = cut(pair.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct(), "candidates")
+    tables.drop(met, ids, fetched, open_)
     if not second.isEmpty():
-        links = cut(links.unionAll(_verified(second, wanted, edits)), "links")
-        named = components(links)
-    drop(met, open_, second, wanted, lines)
+        named = components(links.unionAll(_verified(second, wanted, edits, tables)), tables)
     return named.select(F.col("node").alias("id"), "component")
 
 
@@ -198,16 +206,21 @@ def repeats(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, mostl
     With ``mostly`` None all repeats are removed, from every document. Lines shorter than
     ``shortest`` count from ``exact`` characters on, by equality.
     """
-    where = cut(_exploded(docs.select("doc_id", "text")).select("doc_id", "h", "at", "n", "id").distinct(), "places")
-    classes = line_classes(docs, edits, shortest)
-    counted = where.where(F.col("n") >= (shortest if exact is None else min(shortest, max(1, exact))))
-    placed = counted.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = placed.groupBy("component").agg(F.min(F.struct("doc_id", "h", "at")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    again = placed.join(heads, "component").where(F.struct("doc_id", "h", "at") != F.col("head"))
-    per = again.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("at")).alias("ats"), F.sum("n").alias("repeated_chars"))
-    totals = where.groupBy("doc_id", "h").agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum("n").alias("chars"))
-    empty = docs.where(F.col("text").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.lit(0).alias("n_lines"), F.lit(0).cast("long").alias("chars"))
-    totals = totals.unionByName(empty.distinct())
+    with Tables() as tables:
+        doc_id, h = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")
+        least = shortest if exact is None else min(shortest, max(1, exact))
+        where = tables.cut(_exploded(docs, doc_id, h).where(F.col("n") >= least).select("doc_id", "h", "at", "n", "id"), "places")
+        classes = tables.cut(line_classes(docs, edits, shortest, tables), "classes")
+        placed = where.join(classes, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        heads = placed.groupBy("component").agg(F.min(F.struct("doc_id", "h", "at")).alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        again = placed.join(heads, "component").where(F.struct("doc_id", "h", "at") != F.col("head"))
+        # rows that are wholly equal have each place twice
+        per = again.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("gone"))
+        per = tables.cut(per.select("doc_id", "h", F.transform("gone", lambda x: x["at"]).alias("ats"), F.aggregate("gone", F.lit(0).cast("long"), lambda t, x: t + x["n"]).alias("repeated_chars")), "repeats")
+        tables.keep(per)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    chars = F.coalesce(F.length("text") - n_lines + 1, F.lit(0)).cast("long")
+    totals = docs.select(doc_id, h, n_lines.alias("n_lines"), chars.alias("chars")).distinct()
     out = totals.alias("t").join(per.alias("p"), F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("t.h") == F.col("p.h")), "left")
     none = F.array().cast("array<int>")
     copied = F.lit(False) if mostly is None else F.coalesce("repeated_chars", F.lit(0)) > F.col("chars") * mostly
@@ -223,7 +236,6 @@ def dedup(docs: DataFrame, **how) -> DataFrame:
     Where n_chars is a column it is made to fit the new text.
     """
     changed = repeats(docs, **how).where(F.size("removed") > 0).select("doc_id", "h", "removed")
-    release(docs.sparkSession)
     # columns of any names travel as one struct
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("k"))
     rows = own.join(changed, (F.col("k") == changed["h"]) & F.col("i").eqNullSafe(changed["doc_id"]), "left").select("row", "removed")
