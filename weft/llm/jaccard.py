@@ -51,6 +51,8 @@ WANTED = (1 << 16, 1 << 27)
 BITS, WIDEST = 512, 1 << 20
 #: Classes of a key that are crossed as one; a task keeps so many pairs to tell repeated ones.
 CELL, PAIRS = 2048, 400_000
+#: Rows of keys with one smallest class that are done together; more are spread by key.
+TOGETHER = 20_000
 #: Members of a star that one task compares with its centre.
 STAR = 256
 STEP = 500
@@ -478,8 +480,10 @@ def _across(stars: DataFrame, named: DataFrame, info: DataFrame, tables: Tables)
     mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("g")).where("x != y").select("key", "g")
     rows = members.join(mixed, "key").join(info.select("cls", "n", "s"), "cls")
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("low", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q"), "key", "cls", "component", "cell", "n", "s")
-    dealt = rows.repartition("low", "p", "q").sortWithinPartitions("low", "p", "q", "key")
+    hot = stars.where("not alone").groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("spread")).where("spread > 1")
+    rows = rows.join(hot, "low", "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("spread", F.lit(1))).cast("int"))
+    rows = rows.select("low", "salt", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q"), "key", "cls", "component", "cell", "n", "s")
+    dealt = rows.repartition("low", "salt", "p", "q").sortWithinPartitions("low", "p", "q", "key")
     return tables.cut(dealt.mapInArrow(_cross, PAIR).dropDuplicates(["a", "b"]), "across")
 
 

@@ -171,7 +171,8 @@ def _fetched(lines: DataFrame, ids: DataFrame) -> DataFrame:
     word, bit = F.pmod(F.shiftright("id", 6), F.lit(words)), F.col("id").bitwiseAND(F.lit(63).cast("long")).cast("int")
     marks = ids.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
     passed = lines.withColumn("word", word).join(F.broadcast(marks), "word").where(F.getbit("marks", bit) == 1)
-    return passed.select("id", "line", "n").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    # an inner join: a semi-join would be moved ahead of the filter
+    return passed.select("id", "line", "n").join(ids.distinct(), "id").groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"))
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, shortest: int = MIN_LINE, tables: Tables | None = None) -> DataFrame:
