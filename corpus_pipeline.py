@@ -15,15 +15,20 @@ from weft.llm import bpe, jaccard, langid, lines, mixing
 from weft.llm.queries import vocabulary
 from weft.llm.shared import cut, drop, unused
 
-#: A text goes if it has no letter, or if no language's pooled probability reaches this.
-CONFIDENT = 0.3
+#: A text goes if it has no letter, or if no language's pooled probability is so much of the way from chance to certainty.
+CONFIDENT = 0.1
+
+
+def least(languages: int) -> float:
+    """The score below which no language is recognised; one language alone is always it."""
+    return 1 / languages + CONFIDENT * (1 - 1 / languages) if languages > 1 else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learnt; a missing label is filled with the prediction."""
     net = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
     lang, score = unused(docs.columns, "lang_pred", "score")
-    named = langid.identify(docs, net, docs.columns, (lang, score)).where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= CONFIDENT))
+    named = langid.identify(docs, net, docs.columns, (lang, score)).where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= least(len(net.languages))))
     return named.withColumn("lang", F.coalesce("lang", lang)).drop(lang, score)
 
 
