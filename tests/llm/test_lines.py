@@ -50,7 +50,9 @@ def test_banded_distance(spark, edits):
         assert x.near == (want <= edits)
 
 
-def classes(texts, edits=2, shortest=lines.MIN_LINE):
+def classes(texts, edits=2, shortest=lines.MIN_LINE, exact=None):
+    """A name for the class of each line that counts; lines under ``shortest`` count from ``exact`` characters, by equality."""
+    equal = {x: x for t in texts if t for x in t.split("\n") if exact is not None and exact <= len(x) < shortest}
     every = sorted({x for t in texts if t for x in t.split("\n") if len(x) >= shortest})
     parent = {x: x for x in every}
 
@@ -63,10 +65,10 @@ def classes(texts, edits=2, shortest=lines.MIN_LINE):
         for b in every[i + 1 :]:
             if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
                 parent[find(a)] = find(b)
-    return {x: find(x) for x in every}
+    return equal | {x: find(x) for x in every}
 
 
-def brute(rows, **how):
+def brute(rows, mostly=lines.MOSTLY, **how):
     """removed line numbers by row; rows in order of doc_id, each once."""
     cls, seen, out = classes([t for _, t in rows], **how), set(), {}
     for i, t in sorted(rows):
@@ -78,7 +80,7 @@ def brute(rows, **how):
                     gone.append(n)
                 seen.add(cls[x])
         chars = sum(map(len, own))
-        out[i] = [] if sum(len(own[n]) for n in gone) > lines.MOSTLY * chars else gone
+        out[i] = [] if mostly is not None and sum(len(own[n]) for n in gone) > mostly * chars else gone
     return out
 
 

@@ -16,33 +16,44 @@ def words(text):
     return [*(text or "").encode().translate(LOWER).split(), None]
 
 
-def brute(rows):
-    """doc_id, text, train -> n_tokens, n_known, N, base, score by exact counts."""
-    c, pairs = Counter(), Counter()
+def brute(rows, order=2):
+    """doc_id, text, train -> n_tokens, n_known, N, base, score by exact counts, each order smoothed by the one below."""
+    grams = [Counter() for _ in range(order + 1)]
     for _, t, train in rows:
         if train:
-            w = words(t)
-            c.update(w)
-            pairs.update(zip(["start", *w], w))
-    n, v, starts = sum(c.values()), len(c), sum(1 for r in rows if r[2])
+            w = ["start"] * (order - 1) + words(t)
+            for at in range(order - 1, len(w)):
+                for k in range(order + 1):
+                    grams[k][tuple(w[at - k + 1 : at + 1])] += 1
+    contexts = [Counter() for _ in range(order)]
+    for k in range(1, order):
+        for gram, c in grams[k + 1].items():
+            contexts[k][gram[:-1]] += c
+    c = Counter({g[0]: x for g, x in grams[1].items()})
+    n, v = sum(c.values()), len(c)
     out = []
     for i, t, _ in rows:
-        w = words(t)
-        p = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
-        total = [starts, *(c[x] for x in w)]
-        s = sum(math.log10((pairs[a, b] + lm.MU * q) / (k + lm.MU)) for a, b, q, k in zip(["start", *w], w, p, total))
-        out.append((i, len(w), sum(c[x] > 0 for x in w), n, sum(map(math.log10, p)), s))
+        w = ["start"] * (order - 1) + words(t)
+        base = score = 0.0
+        for at in range(order - 1, len(w)):
+            p = (c[w[at]] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(p)
+            for k in range(1, order):
+                p = (grams[k + 1][tuple(w[at - k : at + 1])] + lm.MU * p) / (contexts[k][tuple(w[at - k : at])] + lm.MU)
+            score += math.log10(p)
+        own = w[order - 1 :]
+        out.append((i, len(own), sum(c[x] > 0 for x in own), n, base, score))
     return out
 
 
-def check(got, want):
+def check(got, want, order=2):
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[4])
     got = sorted((tuple(r[c] for c in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")) for r in got), key=key)
     want = sorted(want, key=key)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     for g, w in zip(got, want, strict=True):
         assert g[4] == pytest.approx(w[4], rel=1e-9)
-        assert abs(g[5] - w[5]) <= 4e-4 * w[1] + 1e-6
+        assert abs(g[5] - w[5]) <= 4e-4 * (order - 1) * w[1] + 1e-6
 
 
 def test_whole_table(spark):
@@ -50,7 +61,7 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text, zlib.crc32(str(r.doc_id).encode()) % 10 != 0) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries()["op5_lm"](spark, sf).collect()
     assert all(r.held_out != t for r, t in zip(sorted(got), [t for *_, t in sorted(rows)], strict=True))
-    check(got, brute(rows))
+    check(got, brute(rows, lm.ORDER), lm.ORDER)
 
 
 def test_odd_rows_and_small_blocks(spark, monkeypatch):
