@@ -49,10 +49,8 @@ SLOTS, SLICES = 1 << 20, 32
 WANTED = (1 << 16, 1 << 27)
 #: Bits of every set's sketch, and of the largest one of a larger set.
 BITS, WIDEST = 512, 1 << 20
-#: Classes of a key that are crossed as one; a task keeps so many pairs to tell repeated ones.
-CELL, PAIRS = 2048, 400_000
-#: Rows of keys with one smallest class that are done together; more are spread by key.
-TOGETHER = 20_000
+#: Rows of keys with one smallest class that are done together; a task keeps so many pairs to tell repeated ones.
+TOGETHER, PAIRS = 30_000, 400_000
 #: Members of a star that one task compares with its centre.
 STAR = 256
 STEP = 500
@@ -249,18 +247,26 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIR = "a long, b long, x long, y long, apart double"
 
 
-@trimmed()
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a key's classes that lie in different components and pass the bounds.
+def _cross(likeliest: bool):
+    """The pairs of a key's classes that lie in different components and pass the bounds; or of each two components the likeliest.
 
     Rows come in order of (low, p, q, key): the cells p and q of a key, crossed with each other.
     """
+
+    @trimmed()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _crossed(batches, likeliest)
+
+    return run
+
+
+def _crossed(batches: Iterator[pa.RecordBatch], likeliest: bool) -> Iterator[pa.RecordBatch]:
     found: list[tuple] = []
 
     def once() -> pa.RecordBatch:
         a, b, x, y, apart = (np.concatenate([f[c] for f in found]) for c in range(5))
-        order = np.lexsort((b, a))
-        order = order[np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])]
+        order, one, two = (np.lexsort((b, a, apart, y, x)), x, y) if likeliest else (np.lexsort((b, a)), a, b)
+        order = order[np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])]
         return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (a, b, x, y, apart)], ["a", "b", "x", "y", "apart"])
 
     def test(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> None:
@@ -457,12 +463,10 @@ def _similar(documents: DataFrame, tables: Tables) -> DataFrame:
     # then with the others of which it is not yet known
     apart = _labelled(_labelled(shared.select("low", "cls"), named, "low", "x"), named, "cls", "y").where("x != y")
     named = compared(apart.select(F.col("low").alias("a"), F.col("cls").alias("b"))) or named
-    # and all pairs of a key that still lie in different components
-    pairs = _across(stars, named, info, tables)
-    likeliest = pairs.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "apart").alias("pair")).select("pair.*")
-    named = compared(likeliest) or named
-    rest = _labelled(_labelled(pairs.select("a", "b"), named, "a", "x"), named, "b", "y").where("x != y").select("a", "b")
-    named = compared(rest.join(likeliest, ["a", "b"], "left_anti")) or named
+    # and all pairs of a key that still lie in different components, once the likeliest of each two components are known
+    nearest = _across(stars, named, info, tables, True).groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "apart").alias("pair")).select("pair.*")
+    named = compared(nearest) or named
+    named = compared(_across(stars, named, info, tables, False).select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti")) or named
     lowest = classes.select("cls", "doc_id").join(named.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = lowest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = cut(lowest.join(least, "component").select("cls", "component", "component_id"), "components")
@@ -471,20 +475,20 @@ def _similar(documents: DataFrame, tables: Tables) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h", "component")
 
 
-def _across(stars: DataFrame, named: DataFrame, info: DataFrame, tables: Tables) -> DataFrame:
+def _across(stars: DataFrame, named: DataFrame, info: DataFrame, tables: Tables, likeliest: bool) -> DataFrame:
     """(a, b, x, y, apart): pairs of classes that share a key and pass the bounds, from the different components x and y.
 
-    A key's smallest class was compared with all others, and is not among them.
+    A key's smallest class was compared with all others, and is not among them. Where the
+    keys of one smallest class hold many rows, their classes are dealt into cells.
     """
     members = _labelled(stars.where("not alone").select("key", "low", "cls"), named, "cls", "component")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("g")).where("x != y").select("key", "g")
-    rows = members.join(mixed, "key").join(info.select("cls", "n", "s"), "cls")
+    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    hot = stars.where("not alone").groupBy("low").agg(F.ceil(2 * F.count(F.lit(1)) / TOGETHER).cast("int").alias("g")).where("g > 2")
+    rows = members.join(mixed, "key").join(info.select("cls", "n", "s"), "cls").join(hot, "low", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    hot = stars.where("not alone").groupBy("low").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("spread")).where("spread > 1")
-    rows = rows.join(hot, "low", "left").withColumn("salt", F.pmod(F.xxhash64("key"), F.coalesce("spread", F.lit(1))).cast("int"))
-    rows = rows.select("low", "salt", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q"), "key", "cls", "component", "cell", "n", "s")
-    dealt = rows.repartition("low", "salt", "p", "q").sortWithinPartitions("low", "p", "q", "key")
-    return tables.cut(dealt.mapInArrow(_cross, PAIR).dropDuplicates(["a", "b"]), "across")
+    rows = rows.select("low", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q"), "key", "cls", "component", "cell", "n", "s")
+    dealt = rows.repartition("low", "p", "q").sortWithinPartitions("low", "p", "q", "key")
+    return tables.cut(dealt.mapInArrow(_cross(likeliest), PAIR), "across")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
