@@ -20,7 +20,12 @@ def test_fields(text, want, end):
 
 
 def test_records():
-    assert list(records("1,2\r\n3,4\n\n5,6")) == [["1", "2"], ["3", "4"], ["5", "6"]]
+    assert list(records("1,2\r\n3,4\n\n5,6")) == [["1", "2"], ["3", "4"], [""], ["5", "6"]]
+    assert list(records("1\n\n2\n")) == [["1"], [""], ["2"]] and list(records("\r\r\n\n")) == [[""]] * 3 and list(records("")) == []
+    for text in ("1,2,\n3,4\n", "1,2,\n\n", '1,2,""\n'):
+        with pytest.raises(Malformed, match="does not end"):
+            list(records(text, ",", True))
+    assert list(records('"a""b","c\\",d"e"\n', escape='"')) == [['a"b', "c\\", "de"]]
     assert list(records("1|2|\n3|4|\n", "|", True)) == [["1", "2"], ["3", "4"]]
     with pytest.raises(Malformed):
         list(records('1,"a\n'))
@@ -43,5 +48,8 @@ def test_table(spark, tmp_path):
     got = read(spark, str(tmp_path / "t.csv"), schema, header=True).collect()
     assert [tuple(r) for r in got] == [(1, "ab", 1.5), (2, None, None), (12, "é", -2000.0)]
     assert read(spark, str(tmp_path / "t.csv"), schema, Compare("k", ">", 1), header=True).count() == 2
+    (tmp_path / "one.csv").write_bytes(b"1\n\n2\n")
+    one = struct(("k", DataType.INT32))
+    assert [r.k for r in read(spark, str(tmp_path / "one.csv"), one).collect()] == [1, None, 2]
     with pytest.raises(Exception, match="fields, not"):
         read(spark, str(tmp_path / "t.csv"), struct(("k", DataType.VARCHAR)), header=True).collect()

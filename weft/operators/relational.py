@@ -52,7 +52,7 @@ NULL_FILTERS: dict[str, tuple[Predicate, str]] = {
 
 GREEDY = [
     "join_empty_side", "join_no_match", "join_duplicate_keys", "join_zero_key", "join_output_reorder", "join_self_alias", "join_transitive_closure",
-    "join_key_class", "join_mixed_int_width", "join_snowflake", "join_varchar_key", "min_single", "min_multi_mixed_types", "min_empty_input",
+    "join_key_class", "join_mixed_int_width", "join_snowflake", "join_varchar_key", "min_single", "min_multi_mixed_types", "min_empty_input", "join_fp64_key",
 ]
 
 
@@ -111,6 +111,25 @@ def _two_way_explain(spark: SparkSession, folder: str) -> DataFrame:
     return run_plan(sql, tree, _tables(spark, folder, sql))
 
 
+def _bushy_explain(spark: SparkSession, folder: str) -> DataFrame:
+    """A plan of two branches, with one relation in both, under Gather and Aggregate."""
+    scan = lambda alias, kind="Seq Scan": {"Node Type": kind, "Alias": alias}
+    join = lambda left, right: {"Node Type": "Hash Join", "Plans": [left, {"Node Type": "Hash", "Plans": [right]}]}
+    suppliers = join(scan("l"), join(scan("s"), join(scan("n1"), scan("r"))))
+    customers = join(scan("o", "Index Only Scan"), join(scan("c"), scan("n2")))
+    tree = {"Plan": {"Node Type": "Aggregate", "Plans": [{"Node Type": "Gather", "Plans": [{"Node Type": "Aggregate", "Plans": [join(suppliers, customers)]}]}]}}
+    sql = ORACLE["join_bushy_explain"]
+    return run_plan(sql, tree, _tables(spark, folder, sql))
+
+
+def _skewed_key(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the rows have one key."""
+    t = ParquetTables(spark, folder)
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("l_orderkey")).alias("k"))
+    out = JoinGraph({"l": lines, "o": t["orders"]}, equal=[(("l", "k"), ("o", "o_orderkey"))]).plan()
+    return out.select(F.col("l__l_orderkey").alias("l_orderkey"), F.col("l__l_linenumber").alias("l_linenumber"), F.col("o__o_custkey").alias("o_custkey"))
+
+
 def _null_keys(spark: SparkSession, folder: str) -> DataFrame:
     nation = ParquetTables(spark, folder)["nation"].select("n_nationkey", F.expr("NULLIF(n_regionkey, 1)").alias("k"))
     out = JoinGraph({"a": nation, "b": nation}, equal=[(("a", "k"), ("b", "k"))]).plan()
@@ -129,7 +148,8 @@ def queries() -> dict[str, Run]:
     out |= {name: partial(_filter, *spec) for name, spec in FILTERS.items()}
     out |= {name: partial(_null_filter, *spec) for name, spec in NULL_FILTERS.items()}
     out |= {name: partial(_sql, name, "greedy") for name in GREEDY}
-    out |= {"join_null_keys": _null_keys, "join_payload_null": _payload_null}
+    out |= {"join_null_keys": _null_keys, "join_payload_null": _payload_null, "join_skewed_key": _skewed_key, "join_bushy_explain": _bushy_explain}
+    out |= {"min_raw": lambda spark, folder: _sql("min_multi_mixed_types", "greedy", spark, folder, raw=True)}
     out |= {"join_two_way": partial(_sql, "join_two_way", "catalyst"), "join_two_way_explain": _two_way_explain}
     out |= {f"join_two_way_{hint}": partial(_two_way_hint, hint) for hint in ("broadcast", "shuffle_hash", "merge")}
     out |= {f"join_two_way_build_{side}": partial(_two_way_plan, side == "left") for side in ("left", "right")}

@@ -42,4 +42,8 @@ ORACLE: dict[str, str] = {
     "min_multi_mixed_types": """SELECT MIN(n.n_name) AS nation, MIN(c.c_custkey) AS cust, MIN(o.o_orderkey) AS ord FROM nation n, customer c, orders o WHERE n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND c.c_mktsegment LIKE '%MACH%' AND o.o_orderstatus != 'P'""",
     "min_empty_input": """SELECT MIN(n.n_name) AS nation FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey AND r.r_name = 'ATLANTIS'""",
     "flagship_8way_min": """SELECT MIN(cn.n_name) AS cust_nation, MIN(s.s_name) AS supplier_name, MIN(p.p_name) AS part_name FROM region r, nation cn, nation sn, customer c, orders o, lineitem l, part p, supplier s WHERE r.r_regionkey = cn.n_regionkey AND cn.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND o.o_orderkey = l.l_orderkey AND l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND s.s_nationkey = sn.n_nationkey AND r.r_name IN ('ASIA', 'EUROPE') AND p.p_type = 'PROMO' AND p.p_name LIKE '%widget%' AND o.o_orderpriority != '5-LOW' AND sn.n_name < 'NATION_5'""",
+    "join_fp64_key": """SELECT a.l_orderkey AS a_order, a.l_linenumber AS a_line, b.l_orderkey AS b_order, b.l_linenumber AS b_line FROM lineitem a, lineitem b WHERE a.l_extendedprice = b.l_extendedprice AND a.l_returnflag = 'R' AND b.l_returnflag = 'A'""",
+    "join_skewed_key": """SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l, orders o WHERE CASE WHEN l.l_orderkey % 3 = 0 THEN 1 ELSE l.l_orderkey END = o.o_orderkey""",
+    "join_bushy_explain": """SELECT MIN(n1.n_name) AS supp_nation, MIN(n2.n_name) AS cust_nation, MIN(o.o_orderkey) AS first_order FROM nation n1, nation n2, region r, supplier s, customer c, orders o, lineitem l WHERE n1.n_regionkey = r.r_regionkey AND n2.n_regionkey = r.r_regionkey AND s.s_nationkey = n1.n_nationkey AND c.c_nationkey = n2.n_nationkey AND o.o_custkey = c.c_custkey AND l.l_orderkey = o.o_orderkey AND l.l_suppkey = s.s_suppkey AND r.r_name = 'ASIA' AND o.o_orderstatus != 'P'""",
+    "min_raw": """SELECT n.n_name AS nation, c.c_custkey AS cust, o.o_orderkey AS ord FROM nation n, customer c, orders o WHERE n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey AND c.c_mktsegment LIKE '%MACH%' AND o.o_orderstatus != 'P'""",
 }

@@ -36,5 +36,5 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, predicate: Pr
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    """Rows as ``|``-separated text with quoted strings and ``NULL`` for nulls."""
+    """Rows as ``|``-separated text with ``NULL`` for nulls; strings that hold a separator, quote or line break are quoted."""
     df.write.options(sep="|", nullValue="NULL", emptyValue='""', quoteAll=False, escape="\\").csv(path)

@@ -3,9 +3,12 @@ r"""CSV in which a quote anywhere opens or closes quoting, read as written.
 Spark's reader gives a quote its meaning only at the ends of a field. Here it only toggles:
 ``"a""b"`` is ``ab`` and ``ab"c,d"e`` is ``abc,de``. Inside quotes ``\"`` and ``\\`` stand for
 the quote and the backslash, any other backslash for itself; outside it is a plain character.
-Lines end with ``\n``, ``\r`` or both. An empty field is NULL for every type. A number is read
+With ``escape='"'`` the dialect is the usual one instead: inside quotes ``""`` is a quote, and a
+backslash is always plain. Lines end with ``\n``, ``\r`` or both; an empty line is a record of one
+empty field. An empty field is NULL for every type. A number is read
 as far as it goes (``12abc`` is 12); one that has no digits, begins with ``+`` or a space, or is
-out of range fails the query, as does a record of another length.
+out of range fails the query, as does a record of another length or, where a separator has to
+end every record, one without it.
 
 A quoted line break can be anywhere, so a file is read by one task; convert large ones once.
 """
@@ -25,51 +28,54 @@ from weft.types import DataType
 _INT = re.compile(r"-?\d+")
 _REAL = re.compile(r"-?(?:inf(?:inity)?|nan|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)", re.IGNORECASE)
 #: Plain text up to something that may matter; inside quotes separators and line breaks do not.
-_OUTSIDE, _INSIDE = re.compile(r'[^",\r\n]+'), re.compile(r'[^"\\]+')
+_OUTSIDE, _INSIDE = re.compile(r'[^",\r\n]+'), {"\\": re.compile(r'[^"\\]+'), '"': re.compile(r'[^"]+')}
 
 
 class Malformed(ValueError):
     """A record of another length than the schema, or a field that is no number."""
 
 
-def records(text: str, separator: str = ",", trailing_separator: bool = False) -> Iterator[list[str]]:
-    """The records of a file as lists of texts."""
+def records(text: str, separator: str = ",", trailing_separator: bool = False, escape: str = "\\") -> Iterator[list[str]]:
+    """The records of a file as lists of texts; ``escape`` is the backslash or the quote."""
     outside = _OUTSIDE if separator == "," else re.compile(rf'[^"{re.escape(separator)}\r\n]+')
+    inside = _INSIDE[escape]
     row: list[str] = []
     field: list[str] = []
-    at, quoted, begun = 0, False, False
+    at, quoted, begun, closed = 0, False, False, False  # closed: the last character was a separator
+
+    def done() -> list[str]:
+        if not trailing_separator:
+            return [*row, "".join(field)]
+        if not closed:
+            raise Malformed("a record does not end with a separator")
+        return row
+
     while at < len(text):
-        m = (_INSIDE if quoted else outside).match(text, at)
+        m = (inside if quoted else outside).match(text, at)
         if m:
             field.append(m[0])
-            at, begun = m.end(), True
+            at, begun, closed = m.end(), True, False
             continue
         c = text[at]
         at += 1
-        if c == '"':
-            quoted, begun = not quoted, True
-        elif quoted:  # a backslash
-            if text[at : at + 1] in ('"', "\\") and at < len(text):
-                field.append(text[at])
-                at += 1
-            else:
-                field.append(c)
+        if quoted and c == escape and text[at : at + 1] in {'"', escape}:
+            field.append(text[at])
+            at += 1
+        elif c == '"':
+            quoted, begun, closed = not quoted, True, False
+        elif quoted:
+            field.append(c)
         elif c == separator:
             row.append("".join(field))
-            field, begun = [], True
+            field, begun, closed = [], True, True
         else:
             at += c == "\r" and text[at : at + 1] == "\n"
-            if begun:
-                if not (trailing_separator and row and not field):
-                    row.append("".join(field))
-                yield row
-            row, field, begun = [], [], False
+            yield done()
+            row, field, begun, closed = [], [], False, False
     if quoted:
         raise Malformed("a quote is not closed")
     if begun:
-        if not (trailing_separator and row and not field):
-            row.append("".join(field))
-        yield row
+        yield done()
 
 
 def value(field: str, kind: DataType):
@@ -87,7 +93,7 @@ def value(field: str, kind: DataType):
     return out
 
 
-def read(spark: SparkSession, path: str, schema: T.StructType, predicate: Predicate | None = None, header: bool = False, separator: str = ",", trailing_separator: bool = False) -> DataFrame:
+def read(spark: SparkSession, path: str, schema: T.StructType, predicate: Predicate | None = None, header: bool = False, separator: str = ",", trailing_separator: bool = False, escape: str = "\\") -> DataFrame:
     """A table of CSV files in this dialect."""
     names, kinds = schema.fieldNames(), [DataType.of(f.dataType) for f in schema.fields]
     arrow = {DataType.INT32: pa.int32(), DataType.INT64: pa.int64(), DataType.FP64: pa.float64(), DataType.VARCHAR: pa.string()}
@@ -99,7 +105,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType, predicate: Predic
         for b in batches:
             for content in b["content"].to_pylist():
                 rows: list[list] = []
-                for n, r in enumerate(records(content.decode(), separator, trailing_separator)):
+                for n, r in enumerate(records(content.decode(), separator, trailing_separator, escape)):
                     if len(r) != len(kinds):
                         raise Malformed(f"record {n + 1} has {len(r)} fields, not {len(kinds)}")
                     if n or not header:
