@@ -42,9 +42,9 @@ def test_cuts_between_tasks(spark):
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "CACHE", 120)
     own = bpe.Runs(PATH)
     for k in range(300):
-        text = " ".join(f"w{k}x{j}" for j in range(40))
+        text = " ".join([*(f"w{k}x{j}" for j in range(40)), "long" * 40])
         assert own.text(text)[0] == " ".join(map(str, whole(text)[0]))
-        assert len(own.known) < 200
+        assert len(own.known) <= 120 and len(own.pieces) < 1000 and max(map(len, own.known)) <= bpe.LONGEST

@@ -37,8 +37,8 @@ from weft.llm.shared import trimmed
 
 #: Characters of a run that are encoded at once, and of a text that one task encodes.
 LEAF, PART = 4096, 32_768
-#: Bytes of distinct runs and pieces, with their encodings, that a task remembers.
-CACHE_BYTES = 24 << 20
+#: Distinct runs that a task remembers, of so many bytes at most: together under 100 MB.
+CACHE, LONGEST = 160_000, 64
 AGREE = 3
 #: Characters that are split into pieces at a time, and pieces at their end that may yet go on.
 CHUNK, UNSURE = 1 << 16, 4
@@ -187,7 +187,8 @@ class Runs:
     """Encodes texts run by run; the cache holds each run's ids as text, their number and its decoding."""
 
     def __init__(self, path: str):
-        self.path, self.encode, self.known, self.pieces, self.names, self.held = path, leaf(path), {}, {}, byte_names(), 0
+        self.path, self.encode, self.names = path, leaf(path), byte_names()
+        self.forget()
         t = json.loads(tokenizer(path).to_str())
         #: whether runs of plain characters may be split here; a file of another kind is left to the library
         kinds = [x["type"] for x in (t["normalizer"] or {}).get("normalizers", [])]
@@ -205,20 +206,18 @@ class Runs:
         if ids is None:
             named = "".join([self.names[x] for x in text.encode()])
             ids = [t.id for t in tokenizer(self.path).model.tokenize(named)]
-            if len(text) < LEAF:
+            if len(text) <= LONGEST:
                 self.pieces[text] = ids
-                self.held += 250 + len(text) + 40 * len(ids)
         return ids
 
     def forget(self) -> None:
-        self.known.clear()
-        self.pieces.clear()
-        self.held = 0
+        self.known, self.pieces, self.large = {}, {}, []
 
     def learn(self, runs: list[bytes]) -> None:
-        if self.held > CACHE_BYTES:
-            self.forget()
         new = list({r for r in runs if r not in self.known})
+        if len(self.known) + len(new) > CACHE or len(self.pieces) > CACHE:
+            self.forget()
+            new = list(set(runs))
         texts = [r.decode() for r in new]
         ids: dict[str, list[int]] = {}
         for r in texts:
@@ -230,8 +229,8 @@ class Runs:
         ids.update((r, e.ids) for r, e in zip(rest, tokenizer(self.path).encode_batch_fast(rest, add_special_tokens=False), strict=True))
         for r, text in zip(new, texts, strict=True):
             own = ids[text]
-            self.known[r] = found = (" ".join(map(str, own)), len(own), self.decode(own))
-            self.held += 400 + len(r) + len(found[0]) + len(found[2])
+            self.known[r] = (" ".join(map(str, own)), len(own), self.decode(own))
+        self.large += [r for r in new if len(r) > LONGEST]
 
     def text(self, text: str) -> tuple[str, int, str]:
         """The ids as decimal text, their number, and the decoding."""
@@ -241,6 +240,9 @@ class Runs:
         except KeyError:
             self.learn(runs)
             found = [self.known[r] for r in runs]
+            for r in self.large:  # long runs are known for one text only
+                del self.known[r]
+            self.large.clear()
         found = [x for x in found if x[1]]
         return " ".join([x[0] for x in found]), sum([x[1] for x in found]), " ".join([x[2] for x in found])
 
