@@ -14,13 +14,13 @@ bit a shingle, 512 bits and, for larger sets, about two bits for each shingle, a
 compared shingle by shingle. Equal sets are one class from the start. The candidates of a key
 are its smallest class with each other one: each class first with the one it meets so most
 often, then with the others that are not yet in its component. Where that leaves several
-components in a key, all pairs across them that pass the bounds are found. Keys with the same
-smallest class, which mostly have the same classes, are done together, so that a pair of
-theirs comes out once; a hot key is cut into cells, and pairs of cells are the unit of work. Of
-the pairs of two components the likeliest is compared first, then those between components
-that are still apart. So no link between components is lost, and pairs inside one are never
-made. Sketches are compared in the order of a key's classes in other components times its
-classes, texts only in pairs that pass.
+components, all pairs across them that pass the bounds are found. Keys with the same smallest
+class, which mostly have the same classes, are one group for this: a class stands in it once,
+however many of the keys it has. A hot group is cut into cells, and pairs of cells are the
+unit of work. Of the pairs of two components the likeliest is compared first, then those
+between components that are still apart. So no link between components is lost, and pairs
+inside one are never made. Sketches are compared in the order of a group's classes in other
+components times its classes, texts only in pairs that pass.
 
 Shingles are compared by 64-bit hashes. A text with fewer than five words is one shingle of
 all of them; one without words, or null, is an empty set and links with nothing. A null
@@ -49,8 +49,8 @@ SLOTS, SLICES = 1 << 20, 32
 WANTED = (1 << 16, 1 << 27)
 #: Bits of every set's sketch, and of the largest one of a larger set.
 BITS, WIDEST = 512, 1 << 20
-#: Rows of keys with one smallest class that are done together; a task keeps so many pairs to tell repeated ones.
-TOGETHER, PAIRS = 30_000, 400_000
+#: Classes beside one smallest class that are done together; pairs tested at a time; a task keeps so many pairs to tell repeated ones.
+TOGETHER, AT_ONCE, PAIRS = 10_000, 200_000, 400_000
 #: Members of a star that one task compares with its centre.
 STAR = 256
 STEP = 500
@@ -248,9 +248,9 @@ PAIR = "a long, b long, x long, y long, apart double"
 
 
 def _cross(likeliest: bool):
-    """The pairs of a key's classes that lie in different components and pass the bounds; or of each two components the likeliest.
+    """The pairs of a group's classes that lie in different components and pass the bounds; or of each two components the likeliest.
 
-    Rows come in order of (low, p, q, key): the cells p and q of a key, crossed with each other.
+    Rows come in order of (low, p, q, component): the cells p and q of a group, crossed with each other.
     """
 
     @trimmed()
@@ -281,27 +281,31 @@ def _crossed(batches: Iterator[pa.RecordBatch], likeliest: bool) -> Iterator[pa.
             found.append((np.minimum(c, d), np.maximum(c, d), np.minimum(x, y), np.maximum(x, y), apart))
 
     def whole(rows: dict[str, np.ndarray], head: np.ndarray) -> None:
-        """All pairs inside groups that begin at head."""
-        sizes = np.diff(np.append(head, len(rows["n"])))
-        group = np.repeat(np.arange(len(head)), sizes)
-        for d in range(1, min(16, int(sizes.max(initial=0)))):
-            i = np.flatnonzero(group[d:] == group[:-d])
-            test(rows, i[sizes[group[i]] <= 16], i[sizes[group[i]] <= 16] + d)
-        for at, k in zip(head[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-            step = max(1, 100_000 // k)
-            for begin in range(0, k, step):
-                i, j = np.divmod(np.arange(min(step, k - begin) * k), k)
-                ahead = j > i + begin
-                test(rows, at + begin + i[ahead], at + j[ahead])
+        """All pairs across components inside groups that begin at head: a row meets those behind its own component's."""
+        size = len(rows["n"])
+        if not size:
+            return
+        starts = np.zeros(size, dtype=bool)
+        starts[head] = True
+        ends = np.repeat(np.append(head[1:], size), np.diff(np.append(head, size)))
+        block = np.flatnonzero(starts | np.concatenate([[True], rows["component"][1:] != rows["component"][:-1]]))
+        behind = np.repeat(np.append(block[1:], size), np.diff(np.append(block, size)))
+        before = np.concatenate([[0], np.cumsum(ends - behind)])
+        begin = 0
+        while begin < size:
+            end = max(begin + 1, int(np.searchsorted(before, before[begin] + AT_ONCE, side="right")) - 1)
+            i = np.repeat(np.arange(begin, end), np.diff(before[begin : end + 1]))
+            test(rows, i, behind[i] + np.arange(before[begin], before[end]) - before[i])
+            begin = end
 
     held: dict[str, np.ndarray] | None = None
     for b in batches:
-        rows = {c: b[c].to_numpy() for c in ("low", "p", "q", "key", "cls", "component", "cell", "n")} | {"s": b["s"].flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)}
+        rows = {c: b[c].to_numpy() for c in ("low", "p", "q", "cls", "component", "cell", "n")} | {"s": b["s"].flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)}
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
         if not len(rows["n"]):
             continue
-        head = np.flatnonzero(np.concatenate([[True], np.any([rows[c][1:] != rows[c][:-1] for c in ("low", "p", "q", "key")], axis=0)]))
+        head = np.flatnonzero(np.concatenate([[True], np.any([rows[c][1:] != rows[c][:-1] for c in ("low", "p", "q")], axis=0)]))
         held = {c: v[head[-1] :] for c, v in rows.items()}  # it may go on
         whole({c: v[: head[-1]] for c, v in rows.items()}, head[:-1])
         if sum(len(f[0]) for f in found) > PAIRS:
@@ -457,16 +461,16 @@ def _similar(documents: DataFrame, tables: Tables) -> DataFrame:
         return components(links, tables)
 
     # first each class with the one that is smallest for most of its keys, which settles most groups of copies
-    shared = cut(stars.groupBy("cls", "low").agg(F.count(F.lit(1)).alias("k")), "shared")
+    shared = cut(stars.groupBy("cls", "low").agg(F.count(F.lit(1)).alias("k"), F.bool_and("alone").alias("alone")), "shared")
     best = shared.groupBy("cls").agg(F.max(F.struct("k", "low")).alias("top")).select(F.col("top.low").alias("a"), F.col("cls").alias("b"))
     named = compared(best)
     # then with the others of which it is not yet known
     apart = _labelled(_labelled(shared.select("low", "cls"), named, "low", "x"), named, "cls", "y").where("x != y")
     named = compared(apart.select(F.col("low").alias("a"), F.col("cls").alias("b"))) or named
-    # and all pairs of a key that still lie in different components, once the likeliest of each two components are known
-    nearest = _across(stars, named, info, tables, True).groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "apart").alias("pair")).select("pair.*")
+    # and all pairs of a group that still lie in different components, once the likeliest of each two components are known
+    nearest = _across(shared, named, info, tables, True).groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), "apart").alias("pair")).select("pair.*")
     named = compared(nearest) or named
-    named = compared(_across(stars, named, info, tables, False).select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti")) or named
+    named = compared(_across(shared, named, info, tables, False).select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti")) or named
     lowest = classes.select("cls", "doc_id").join(named.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = lowest.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_class = cut(lowest.join(least, "component").select("cls", "component", "component_id"), "components")
@@ -475,19 +479,19 @@ def _similar(documents: DataFrame, tables: Tables) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "h", "component")
 
 
-def _across(stars: DataFrame, named: DataFrame, info: DataFrame, tables: Tables, likeliest: bool) -> DataFrame:
-    """(a, b, x, y, apart): pairs of classes that share a key and pass the bounds, from the different components x and y.
+def _across(shared: DataFrame, named: DataFrame, info: DataFrame, tables: Tables, likeliest: bool) -> DataFrame:
+    """(a, b, x, y, apart): pairs of classes with keys of the same smallest class that pass the bounds, from the different components x and y.
 
-    A key's smallest class was compared with all others, and is not among them. Where the
-    keys of one smallest class hold many rows, their classes are dealt into cells.
+    The smallest class was compared with all others, and is not among them. Where it has many
+    beside it, they are dealt into cells.
     """
-    members = _labelled(stars.where("not alone").select("key", "low", "cls"), named, "cls", "component")
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    hot = stars.where("not alone").groupBy("low").agg(F.ceil(2 * F.count(F.lit(1)) / TOGETHER).cast("int").alias("g")).where("g > 2")
-    rows = members.join(mixed, "key").join(info.select("cls", "n", "s"), "cls").join(hot, "low", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    members = _labelled(shared.where("not alone").select("low", "cls"), named, "cls", "component")
+    mixed = members.groupBy("low").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(2 * F.count(F.lit(1)) / TOGETHER).cast("int").alias("g"))
+    cells = F.when(F.col("g") > 2, F.col("g")).otherwise(1)
+    rows = members.join(mixed.where("x != y").select("low", cells.alias("g")), "low").join(info.select("cls", "n", "s"), "cls")
     rows = rows.withColumn("cell", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("low", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q"), "key", "cls", "component", "cell", "n", "s")
-    dealt = rows.repartition("low", "p", "q").sortWithinPartitions("low", "p", "q", "key")
+    rows = rows.select("low", F.least("cell", "other").alias("p"), F.greatest("cell", "other").alias("q"), "cls", "component", "cell", "n", "s")
+    dealt = rows.repartition("low", "p", "q").sortWithinPartitions("low", "p", "q", "component")
     return tables.cut(dealt.mapInArrow(_cross(likeliest), PAIR), "across")
 
 
