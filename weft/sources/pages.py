@@ -1,4 +1,4 @@
-"""The 8 KiB page format, as a codec between Arrow columns and lists of pages.
+"""The 8 KiB page format: a codec between Arrow columns and lists of pages, and tables of such pages.
 
 Fixed values of the format: a page has 8192 bytes; it starts with the numbers of rows and of
 values (16 bits each); the bitmap of present rows ends it, first row in the lowest bit.
@@ -15,6 +15,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SIZE = 8192
 LONG, MORE = 0xFFFF, 0xFFFE
@@ -110,3 +113,44 @@ def decode(pages: Iterable[bytes], kind: str) -> pa.Array:
     if held:
         out.append(b"".join(held).decode())
     return pa.array(out, {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind])
+
+
+PAGES = "rows long, pages array<array<binary>>"
+
+
+def _kinds(schema: T.StructType) -> list[str]:
+    kinds = [f.dataType.simpleString() for f in schema]
+    strange = [f"{f.name} {kind}" for f, kind in zip(schema, kinds, strict=True) if kind not in (*KINDS, "string")]
+    if strange:
+        raise ValueError(f"pages hold int, bigint, double and string, not {', '.join(strange)}")
+    return kinds
+
+
+def write_pages(df: DataFrame, path: str) -> None:
+    """A table as pages: each row of the files holds the pages of every column for one batch of rows.
+
+    Nothing is shuffled, and a task has one batch at a time.
+    """
+    kinds = _kinds(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [list(encode(c.to_pylist(), kind)) for c, kind in zip(b.columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([own], pa.list_(pa.list_(pa.binary())))], ["rows", "pages"])
+
+    df.mapInArrow(run, PAGES).write.parquet(path)
+
+
+def read_pages(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that ``write_pages`` wrote; a column whose pages do not hold all its rows fails."""
+    kinds, arrow = _kinds(schema), to_arrow_schema(T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, columns in zip(b["rows"].to_pylist(), b["pages"], strict=True):
+                own = [decode(pages.as_py(), kind) for pages, kind in zip(columns, kinds, strict=True)]
+                if any(len(c) != rows for c in own):
+                    raise ValueError(f"columns of {[len(c) for c in own]} rows where {rows} were written")
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(own, arrow, strict=True)], schema=arrow)
+
+    return spark.read.schema(PAGES).parquet(path).mapInArrow(run, schema)

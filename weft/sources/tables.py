@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.predicates import Predicate, where
@@ -36,5 +37,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, predicate: Pr
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    """Rows as ``|``-separated text with ``NULL`` for nulls; strings that hold a separator, quote or line break are quoted."""
-    df.write.options(sep="|", nullValue="NULL", emptyValue='""', quoteAll=False, escape="\\").csv(path)
+    r"""Rows as lines of ``|``-separated fields: strings quoted, with ``\``, ``"`` and newlines escaped by ``\``, ``NULL`` for nulls."""
+
+    def field(f: T.StructField) -> Column:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, T.StringType):
+            for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+                c = F.replace(c, F.lit(plain), F.lit(escaped))
+            c = F.concat(F.lit('"'), c, F.lit('"'))
+        return F.coalesce(c.cast("string"), F.lit("NULL"))
+
+    df.select(F.concat_ws("|", *map(field, df.schema)).alias("value")).write.text(path)
