@@ -13,17 +13,21 @@ import numpy as np
 
 U = np.uint64
 ONE = U(1)
+#: Values that are packed, and words that are looked up, at a time.
+PIECE = 1 << 18
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """Values of ``width`` bits each, in 64-bit words with one word to spare."""
     out = np.zeros((len(values) * width + 63) // 64 + 1, dtype=U)
     if width and len(values):
-        at = np.arange(len(values), dtype=U) * U(width)
-        word, shift = (at >> U(6)).astype(np.int64), at & U(63)
-        np.bitwise_or.at(out, word, values << shift)
-        over = shift + U(width) > U(64)
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (U(64) - shift[over]))
+        for k in range(0, len(values), PIECE):
+            some = values[k : k + PIECE]
+            at = np.arange(k, k + len(some), dtype=U) * U(width)
+            word, shift = (at >> U(6)).astype(np.int64), at & U(63)
+            np.bitwise_or.at(out, word, some << shift)
+            over = shift + U(width) > U(64)
+            np.bitwise_or.at(out, word[over] + 1, some[over] >> (U(64) - shift[over]))
     return out
 
 
@@ -93,11 +97,12 @@ class Monotone:
 
         at, stop = np.maximum(below(h), begin), np.minimum(below(h + 1), end)
         at = np.minimum(at, end)
+        # between at and stop high bits are those of x, and low bits ascend: by halves, as such a range may hold very many
         open_ = np.flatnonzero(at < stop)
         while len(open_):
-            less = unpack(self.arrays["low"], self.width, at[open_]) < low[open_]
-            open_ = open_[less]
-            at[open_] += 1
+            half = (at[open_] + stop[open_]) >> 1
+            less = unpack(self.arrays["low"], self.width, half) < low[open_]
+            at[open_[less]], stop[open_[~less]] = half[less] + 1, half[~less]
             open_ = open_[at[open_] < stop[open_]]
         return at
 
@@ -166,6 +171,13 @@ class Trie:
         """log10 of each word's probability after its context; ``lower``: that of the word alone."""
         if not self.n_heads:
             return lower
+        out = np.empty(len(word))
+        for k in range(0, len(word), PIECE):
+            own = slice(k, k + PIECE)
+            out[own] = self._logs(context[own], word[own], lower[own])
+        return out
+
+    def _logs(self, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> np.ndarray:
         if not self.words.size:
             safe, known = self._nodes(context)
             return lower + np.where(known, self.backoff[safe] * (self.LOWEST / 65535), 0.0)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import secrets
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.eliasfano import Trie, quantise
-from weft.llm.shared import LOWER, cut, drop, release, text_bytes, trimmed
+from weft.llm.shared import LOWER, cut, drop, release, singly, text_bytes, trimmed
 
 MU = 16.0
 #: Words of an n-gram, the scored word among them.
@@ -41,6 +42,8 @@ ORDER = 3
 BLOCK, SHARD_BYTES = 1_500_000, 12 << 20
 #: Pairs of a context go to one more shard for each so many of its tokens.
 SPREAD = 100_000
+#: Blocks ask in one more slice for each so many text bytes, in so many at most.
+SLICE_BYTES, SLICES = 200 << 20, 4
 END, START = (xxhash.xxh64_intdigest(x) for x in (b"", b"\n"))  # no word is empty or white space
 
 
@@ -55,6 +58,15 @@ def _un(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def _za(a: np.ndarray) -> bytes:
+    """Ascending numbers by their steps."""
+    return _z(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _una(blob: bytes, kind) -> np.ndarray:
+    return np.cumsum(_un(blob, kind), dtype=kind)
+
+
 BLOCKS = "block long, doc_id array<long>, train binary, sizes binary, tokens binary, words binary, counts binary"
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("train", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
 
@@ -123,13 +135,12 @@ def _ask_words(shards: int):
 def _rows_by(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
     """Runs of rows with equal keys."""
     held, rows = None, []
-    for b in batches:
-        for row in b.to_pylist():
-            if rows and row[key] != held:
-                yield held, rows
-                rows = []
-            held = row[key]
-            rows.append(row)
+    for row in singly(batches):
+        if rows and row[key] != held:
+            yield held, rows
+            rows = []
+        held = row[key]
+        rows.append(row)
     if rows:
         yield held, rows
 
@@ -174,13 +185,15 @@ def _pairs(gram: np.ndarray, count: np.ndarray, word: np.ndarray, starts: np.nda
     context, total = np.roll(gram, 1), np.roll(count, 1)
     context[starts], total[starts] = 0, ends
     spread = (word * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % (1 + total // SPREAD).astype(np.uint64)
-    shard = ((context * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)) + spread) % np.uint64(shards)
+    shard = (((context * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(24)) + spread) % np.uint64(shards)).astype(np.uint32)
+    del spread
     # two sorts of 64-bit keys; contexts beyond 32 bits by their rank in the block
     low = context if not len(context) or int(context.max()) < 1 << 32 else np.unique(context, return_inverse=True)[1].astype(np.uint64)
     key = (low << np.uint64(32)) | word
+    del low
     first = np.argsort(key, kind="stable")
-    first = first[np.argsort(shard[first].astype(np.uint32), kind="stable")]
-    key, cuts = key[first], np.searchsorted(shard[first], np.arange(shards + 1, dtype=np.uint64))
+    first = first[np.argsort(shard[first], kind="stable")]
+    key, cuts = key[first], np.searchsorted(shard[first], np.arange(shards + 1))
     new = np.concatenate([[True], key[1:] != key[:-1]])  # a pair is in one shard
     return context, total, first, cuts, new
 
@@ -198,32 +211,36 @@ def _ask_pairs(shards: int, n: int, v: int, order: int, last: bool):
             number[at], count[at] = _un(a["numbers"], np.uint32), _un(a["counts"], np.uint32)
         tokens, sizes = _un(block["tokens"], np.uint32), _un(block["sizes"], np.uint32).astype(np.int64)
         train, docs = np.frombuffer(block["train"], dtype=np.uint8), len(sizes)
-        owner = np.repeat(np.arange(docs), sizes)
+        owner = np.repeat(np.arange(docs, dtype=np.uint32), sizes)
         starts = np.cumsum(sizes) - sizes
         facts = np.zeros(docs, dtype=FACTS)
         facts["tokens"] = sizes
         facts["known"] = np.bincount(owner, (count > 0)[tokens], docs)
         facts["base"] = facts["lower"] = np.add.reduceat(np.log10((count + 0.1) / bottom)[tokens], starts) if docs else 0
         word, own_count = number[tokens], count[tokens]
+        del hashes, by, number, count, tokens
         ends = int(own_count[starts[0] + sizes[0] - 1])  # every document that trains has one end, and one start
         # what stands before a word: the number and count of the n-gram that ends there, longer round by round
         gram, grams, lowers = word, own_count, own_count.astype(np.uint32)
+        del own_count
         for k in range(2, order):
             *_, first, cuts, new = _pairs(gram, grams, word, starts, ends, shards)
             pair = np.cumsum(new) - 1
             names, counts, codes = np.empty(pair[-1] + 1, dtype=np.uint64), np.empty(pair[-1] + 1, dtype=np.int64), np.empty(pair[-1] + 1, dtype=np.uint16)
             for a in answers[k]:
                 own = slice(pair[cuts[a["shard"]]], pair[cuts[a["shard"] + 1] - 1] + 1)
-                names[own] = _un(a["numbers"], np.uint32).astype(np.uint64) * np.uint64(shards) + np.uint64(a["shard"] + 1)
+                names[own] = _una(a["numbers"], np.uint32).astype(np.uint64) * np.uint64(shards) + np.uint64(a["shard"] + 1)
                 counts[own], codes[own] = _un(a["counts"], np.uint32), _un(a["codes"], np.uint16)
-            gram, grams, lowers = np.empty_like(word), np.empty_like(own_count), np.empty(len(word), dtype=np.uint16)
+            gram, grams, lowers = np.empty_like(word), np.empty(len(word), dtype=np.int64), np.empty(len(word), dtype=np.uint16)
             gram[first], grams[first], lowers[first] = names[pair], counts[pair], codes[pair]
+            del _, first, new, pair, names, counts, codes
         if order > 2:
             facts["lower"] = np.add.reduceat(lowers * STEP, starts)
         context, total, first, cuts, new = _pairs(gram, grams, word, starts, ends, shards)
+        del gram, grams
         trains = train[owner[first]]
         if last:
-            owner = ((owner[first] << 1) | trains).astype(np.uint32)
+            owner = (owner[first] << np.uint32(1)) | trains
         else:  # each pair once, with its training count in the block
             at = np.flatnonzero(new)
             owner, first, cuts = np.add.reduceat(trains, at, dtype=np.uint32), first[at], np.searchsorted(at, cuts)
@@ -233,7 +250,7 @@ def _ask_pairs(shards: int, n: int, v: int, order: int, last: bool):
             own = slice(cuts[s], cuts[s + 1])
             c = context[own]
             new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            row = [int(s), block["block"], _z(np.diff(np.append(new, len(c))).astype(np.uint32)), _z(c[new]), _z(total[own][new].astype(np.uint32)), _z(word[own].astype(np.uint32)), _z(lowers[own]), _z(owner[own]), None, None]
+            row = [int(s), block["block"], _z(np.diff(np.append(new, len(c))).astype(np.uint32)), _za(c[new]), _z(total[own][new].astype(np.uint32)), _z(word[own].astype(np.uint32)), _z(lowers[own]), _z(owner[own]), None, None]
             for column, x in zip(columns, row, strict=True):
                 column.append(x)
         if last:
@@ -263,35 +280,38 @@ def _answer_pairs(n: int, v: int, order: int, last: bool):
     bottom = n + 0.1 * (v + 1)
 
     def one(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        heads = [_un(r["heads"], np.uint64) for r in rows]
+        heads = [_una(r["heads"], np.uint64) for r in rows]
         runs = [_un(r["context"], np.uint32) for r in rows]
         names, at, head = np.unique(np.concatenate(heads), return_index=True, return_inverse=True)
         key = np.repeat(head, np.concatenate(runs)).astype(np.uint64) << np.uint64(32)
         key |= np.concatenate([_un(r["word"], np.uint32) for r in rows])
+        del heads, runs, head
         lowers = np.concatenate([_un(r["lowers"], np.uint32 if order == 2 else np.uint16) for r in rows])
         owners = [_un(r["owner"], np.uint32) for r in rows]
-        owner = np.concatenate(owners)
         pairs, first, which = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(which, owner & 1 if last else owner, len(pairs))
+        del key
+        count = np.bincount(which, np.concatenate([o & 1 if last else o for o in owners]), len(pairs))
         base = np.log10((lowers[first] + 0.1) / bottom) if order == 2 else lowers[first] * STEP
         above, word = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
         total = np.concatenate([_un(r["totals"], np.uint32) for r in rows])[at].astype(np.float64)
         seen = count > 0
         smooth = np.log10((count[seen] + MU * 10 ** base[seen]) / (total[above[seen]] + MU))
+        del first, lowers
         trie = Trie(names[above[seen]], word[seen], smooth, names, np.log10(MU / (total + MU)))
+        del smooth, seen
         logs = trie.logs(names[above], word, base)
         if not last:
             begin, codes = 0, quantise(logs, Trie.LOWEST)
             for r, own in zip(rows, owners, strict=True):
                 w = which[begin : begin + len(own)]
                 begin += len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["route"]], pa.int32()), *(pa.array([_z(x)], pa.binary()) for x in (w.astype(np.uint32), count[w].astype(np.uint32), codes[w]))], ["block", "shard", "numbers", "counts", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.array([r["route"]], pa.int32()), *(pa.array([x], pa.binary()) for x in (_za(w.astype(np.uint32)), _z(count[w].astype(np.uint32)), _z(codes[w])))], ["block", "shard", "numbers", "counts", "codes"])
             return
-        more = (logs - base)[which]
-        begin = 0
+        gain, begin = logs - base, 0
+        del pairs, above, word, base, logs, count, trie
         for r, own in zip(rows, owners, strict=True):
             docs, place = np.unique(own >> 1, return_inverse=True)
-            sums = np.bincount(place, more[begin : begin + len(own)], len(docs))
+            sums = np.bincount(place, gain[which[begin : begin + len(own)]], len(docs))
             begin += len(own)
             yield pa.RecordBatch.from_arrays([pa.array([r["block"]], pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([_z(docs)], pa.binary()), pa.array([_z(sums.astype(np.float32))], pa.binary())], ["block", "doc_id", "rows", "docs", "sums"])
 
@@ -333,7 +353,8 @@ def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     if order < 2:
         raise ValueError("an order below 2 has no context")
     spark = docs.sparkSession
-    shards = max(4, text_bytes(docs) // SHARD_BYTES)
+    size = text_bytes(docs)
+    shards, slices = max(4, size // SHARD_BYTES), min(SLICES, 1 + size // SLICE_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     blocks = cut(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask_words(shards), "shard int, block long, words binary, counts binary")
@@ -351,14 +372,21 @@ def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
             told = told.withColumn("codes", none("codes", "binary"))
         both = both.unionAll(told.select("block", F.lit(k - 1).alias("round"), "shard", *said, none("doc_id", "array<long>"), *(none(c, "binary") for c in given[1:])))
         last = k == order
-        routed = both.repartition("block").sortWithinPartitions("block").mapInArrow(_ask_pairs(shards, n, v, k, last), ROUTED)
-        dealt = routed.repartition("route").sortWithinPartitions("route")
+        routed = []
+        for at in range(slices):
+            some = both.where(F.pmod("block", F.lit(slices)) == at).repartition("block").sortWithinPartitions("block")
+            routed.append(cut(some.mapInArrow(_ask_pairs(shards, n, v, k, last), ROUTED), "asked"))
+            release(spark)
+        if last:
+            drop(blocks, *tables)
+        dealt = reduce(DataFrame.unionAll, routed).repartition("route").sortWithinPartitions("route")
         tables.append(cut(dealt.mapInArrow(_answer_pairs(n, v, k, last), SUMS if last else PAIRS), "sums" if last else "pairs"))
+        drop(*routed)
         release(spark)
     sums = tables[-1]
     out = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_meet, SCORES)
     out = cut(out, "scores")
-    drop(blocks, *tables)
+    drop(sums)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
