@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import trimmed
+from weft.llm.shared import singly, small_batches, trimmed
 
 #: Characters of a run that are encoded at once, and of a text that one task encodes.
 LEAF, PART = 4096, 32_768
@@ -324,10 +324,9 @@ def divided(encode: Leaf, text: str, size: int = PART) -> Iterator[tuple[bool, b
 def _cut(path: str, size: int):
     @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for *head, text in zip(*(b[c].to_pylist() for c in ("doc_id", "tag", "key", "copies", "text")), strict=True):
-                for n, p in enumerate(divided(leaf(path), text, size)):
-                    yield _batch(PARTS, [(*head, n, *p)])
+        for row in singly(batches):
+            for n, p in enumerate(divided(leaf(path), row["text"], size)):
+                yield _batch(PARTS, [(*(row[c] for c in ("doc_id", "tag", "key", "copies")), n, *p)])
 
     return run
 
@@ -344,20 +343,19 @@ def _encode_parts(path: str):
     @trimmed(lambda: runs_of(path).forget())
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = runs_of(path)
-        for b in batches:
-            for row in b.to_pylist():
-                text, head, tail = row["text"], "", ""
-                if row["hard"] and (m := _EDGE.match(text)):
-                    head, text = m[0], text[m.end() :]
-                if row["open"]:
-                    at = max(text.rfind(c) for c in SPACE) + 1
-                    tail, text = text[at:], text[:at]
-                if row["pieces"]:
-                    own = [i for p in _EDGE.findall(text) for i, _, _ in halves(leaf(path).piece, p)]
-                    ids, n, decoded = " ".join(map(str, own)), len(own), runs.decode(own)
-                else:
-                    ids, n, decoded = runs.text(text)
-                yield _batch(ENCODED, [(*(row[c] for c in ("doc_id", "tag", "key", "copies", "part", "hard", "open")), head, packed(head), ids, decoded, n, tail, packed(tail))])
+        for row in singly(batches):
+            text, head, tail = row["text"], "", ""
+            if row["hard"] and (m := _EDGE.match(text)):
+                head, text = m[0], text[m.end() :]
+            if row["open"]:
+                at = max(text.rfind(c) for c in SPACE) + 1
+                tail, text = text[at:], text[:at]
+            if row["pieces"]:
+                own = [i for p in _EDGE.findall(text) for i, _, _ in halves(leaf(path).piece, p)]
+                ids, n, decoded = " ".join(map(str, own)), len(own), runs.decode(own)
+            else:
+                ids, n, decoded = runs.text(text)
+            yield _batch(ENCODED, [(*(row[c] for c in ("doc_id", "tag", "key", "copies", "part", "hard", "open")), head, packed(head), ids, decoded, n, tail, packed(tail))])
 
     return run
 
@@ -392,12 +390,11 @@ def _join_parts(path: str, finish: Finish):
     @trimmed()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for b in batches:
-            for row in b.to_pylist():
-                if rows and any(rows[0][c] != row[c] for c in ("key", "doc_id", "tag")):
-                    yield done(rows)
-                    rows = []
-                rows.append(row)
+        for row in singly(batches):
+            if rows and any(rows[0][c] != row[c] for c in ("key", "doc_id", "tag")):
+                yield done(rows)
+                rows = []
+            rows.append(row)
         if rows:
             yield done(rows)
 
@@ -411,6 +408,7 @@ def encode(docs: DataFrame, path: str, finish: Finish = WHOLE, part: int = PART,
     parts: to the tasks that encode them, and to the task that joins a document's parts. A tag
     is a whole number that stays with its document.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(None) if tag is None else tag).cast("long").alias("tag"), "text")
     result = f"doc_id long, tag long, {finish[0]}"
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= part).mapInArrow(_short(path, finish), result)

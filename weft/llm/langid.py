@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.shared import named, trimmed
+from weft.llm.shared import named, small_batches, trimmed
 
 #: The bound on training: documents of a language, and characters of each.
 PER_LANGUAGE, SNIPPET = 400, 320
@@ -228,6 +228,7 @@ def identify(docs: DataFrame, net: Network, keep: list[str], results: tuple[str,
     A kept column that has one of those names gives way to the result.
     """
     keep = [c for c in keep if c.lower() not in {r.lower() for r in results}]
+    small_batches(docs.sparkSession)
     # plain names on the way, as mapInArrow takes no others
     plain = ["text" if c == "text" else f"c{k}" for k, c in enumerate(keep)]
     rows = docs.select(*(named(c).alias(p) for p, c in zip(plain, keep, strict=True)), *(["text"] if "text" not in keep else []))
