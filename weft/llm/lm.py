@@ -29,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.eliasfano import Trie, quantise
-from weft.llm.shared import LOWER, cut, drop, release, singly, text_bytes, trimmed
+from weft.llm.shared import LOWER, cut, drop, drop_part, parted, release, singly, text_bytes, trimmed
 
 MU = 16.0
 #: Words of an n-gram, the scored word among them.
@@ -42,7 +43,7 @@ ORDER = 3
 BLOCK, SHARD_BYTES = 1_500_000, 12 << 20
 #: Pairs of a context go to one more shard for each so many of its tokens.
 SPREAD = 100_000
-#: Blocks ask in one more slice for each so many text bytes, in so many at most.
+#: Blocks ask, and shards answer, in one more slice for each so many text bytes, in so many at most.
 SLICE_BYTES, SLICES = 200 << 20, 4
 END, START = (xxhash.xxh64_intdigest(x) for x in (b"", b"\n"))  # no word is empty or white space
 
@@ -79,18 +80,23 @@ class _Numbers(dict):
 
 @trimmed()
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents as numbers of the block's own words, in order of their first use."""
+    """Documents as numbers of the block's own words, in order of their first use.
+
+    A task's blocks are numbered one after another, the first by its partition in the low bits, so
+    that slices get about equally many.
+    """
 
     def done() -> pa.RecordBatch:
         tokens = np.concatenate(held)
         flags = np.array(train, dtype=bool)
         counts = np.bincount(tokens[np.repeat(flags, sizes)], minlength=len(numbers)).astype(np.uint32)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers], dtype=np.uint64)
-        row = [[secrets.randbits(62)], [ids], [flags.astype(np.uint8).tobytes()], [_z(np.array(sizes, dtype=np.uint32))], [_z(tokens)], [_z(hashes)], [_z(counts)]]
+        row = [[block], [ids], [flags.astype(np.uint8).tobytes()], [_z(np.array(sizes, dtype=np.uint32))], [_z(tokens)], [_z(hashes)], [_z(counts)]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
     numbers, ids, train, sizes, held = _Numbers(), [], [], [], []
-    many = 0
+    task = TaskContext.get()
+    many, block = 0, secrets.randbits(46) << 16 | (task.partitionId() & 0xFFFF if task else 0)
     for b in batches:
         for doc_id, text, trains in zip(*(b[c].to_pylist() for c in ("doc_id", "text", "train")), strict=True):
             words = (text or "").encode().translate(LOWER).split()
@@ -103,7 +109,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             many += len(own)
             if many >= BLOCK:
                 yield done()
-                numbers, ids, train, sizes, held, many = _Numbers(), [], [], [], [], 0
+                numbers, ids, train, sizes, held, many, block = _Numbers(), [], [], [], [], 0, block + 1
     if ids:
         yield done()
 
@@ -356,37 +362,45 @@ def score(docs: DataFrame, train: Column, order: int = 2) -> DataFrame:
     size = text_bytes(docs)
     shards, slices = max(4, size // SHARD_BYTES), min(SLICES, 1 + size // SLICE_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = cut(rows.mapInArrow(_blocks, BLOCKS), "blocks")
+    slice_of = lambda key: F.coalesce(F.pmod(key, F.lit(slices)), F.lit(0)).cast("int")
+    sliced = lambda df, key, name: cut(parted(df.withColumn("slice", slice_of(key)), "slice"), name)
+    blocks = sliced(rows.mapInArrow(_blocks, BLOCKS), "block", "blocks")
     asked = blocks.select("block", "words", "counts").mapInArrow(_ask_words(shards), "shard int, block long, words binary, counts binary")
     dealt = asked.repartition("shard").sortWithinPartitions("shard")
-    answers = cut(dealt.mapInArrow(_answer_words(shards), "block long, shard int, numbers binary, counts binary, n long, v long"), "words")
+    answers = sliced(dealt.mapInArrow(_answer_words(shards), "block long, shard int, numbers binary, counts binary, n long, v long"), "block", "words")
     release(spark)
     n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).collect()[0])
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     given, said = ("doc_id", "train", "sizes", "tokens", "words"), ("numbers", "counts", "codes")
-    both = blocks.select("block", none("round", "int"), none("shard", "int"), *(none(c, "binary") for c in said), *given)
-    tables = [answers]
+    asking = blocks.select("block", none("round", "int"), none("shard", "int"), *(none(c, "binary") for c in said), *given, "slice")
+    told = answers.where("block is not null").withColumn("codes", none("codes", "binary"))
+    sides, tables = [asking], [blocks, answers]
     for k in range(2, order + 1):
-        told = tables[-1].where("block is not null")
-        if k == 2:
-            told = told.withColumn("codes", none("codes", "binary"))
-        both = both.unionAll(told.select("block", F.lit(k - 1).alias("round"), "shard", *said, none("doc_id", "array<long>"), *(none(c, "binary") for c in given[1:])))
+        sides.append(told.select("block", F.lit(k - 1).alias("round"), "shard", *said, none("doc_id", "array<long>"), *(none(c, "binary") for c in given[1:]), "slice"))
         last = k == order
-        routed = []
+        routed, level = [], []
         for at in range(slices):
-            some = both.where(F.pmod("block", F.lit(slices)) == at).repartition("block").sortWithinPartitions("block")
-            routed.append(cut(some.mapInArrow(_ask_pairs(shards, n, v, k, last), ROUTED), "asked"))
+            some = reduce(DataFrame.unionAll, (side.where(F.col("slice") == at) for side in sides)).drop("slice")
+            some = some.repartition("block").sortWithinPartitions("block")
+            routed.append(sliced(some.mapInArrow(_ask_pairs(shards, n, v, k, last), ROUTED), "route", "asked"))
+            if last:
+                drop_part(at, *tables)
             release(spark)
         if last:
-            drop(blocks, *tables)
-        dealt = reduce(DataFrame.unionAll, routed).repartition("route").sortWithinPartitions("route")
-        tables.append(cut(dealt.mapInArrow(_answer_pairs(n, v, k, last), SUMS if last else PAIRS), "sums" if last else "pairs"))
+            drop(*tables)
+        for at in range(slices):
+            some = reduce(DataFrame.unionAll, (t.where(F.col("slice") == at) for t in routed)).drop("slice")
+            dealt = some.repartition("route").sortWithinPartitions("route")
+            met = dealt.mapInArrow(_answer_pairs(n, v, k, last), SUMS if last else PAIRS)
+            level.append(cut(met, "further" if at else "sums") if last else sliced(met, "block", "pairs"))
+            drop_part(at, *routed)
+            release(spark)
         drop(*routed)
-        release(spark)
-    sums = tables[-1]
-    out = sums.repartition("block").sortWithinPartitions("block").mapInArrow(_meet, SCORES)
+        told = reduce(DataFrame.unionAll, level)
+        tables += level
+    out = told.repartition("block").sortWithinPartitions("block").mapInArrow(_meet, SCORES)
     out = cut(out, "scores")
-    drop(sums)
+    drop(*level)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
